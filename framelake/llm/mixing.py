@@ -3,7 +3,8 @@
 Every document of a source is wanted r = target / source size times: whole copies are certain, the fractional part is an
 inclusion probability. The flight phase walks these probabilities through the null space of two balancing constraints, tokens
 and documents, until units are 0 or 1; blocks of a source run apart, what they leave undecided (three units at most) meets in
-the next round, and only the last block's units are landed at random. Null source is a source of its own, the last. Null and
+the next round, and only the last block's units are landed at random; swaps in that block then make good the tokens that
+landing has put out of balance. Null source is a source of its own, the last. Null and
 empty texts have size 0 and may be taken, at no words. Repeated rows are units of their own. Empty tables give empty results.
 """
 
@@ -11,6 +12,7 @@ from __future__ import annotations
 
 import random
 import zlib
+from bisect import bisect_left
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +24,7 @@ WEIGHTS, MOST, BLOCK = (1.0, 2.0, 3.0), 3.0, 4000
 
 def flight(p: list[float], size: list[float], rng: random.Random, land: bool = False) -> list[float]:
     """Inclusion probabilities after the flight: at most two stay strictly between 0 and 1; none if they land."""
-    p, eps = list(p), 1e-9
+    p, wanted, eps = list(p), list(p), 1e-9
     window: list[int] = []
     for k in [*(i for i, x in enumerate(p) if 0 < x < 1), None, None]:
         if k is not None:
@@ -44,19 +46,31 @@ def flight(p: list[float], size: list[float], rng: random.Random, land: bool = F
                 p[i] += step * d
                 p[i] = 0.0 if p[i] < eps else 1.0 if p[i] > 1 - eps else p[i]
             window = [i for i in window if 0 < p[i] < 1]
-    if land:  # two units at most: the first by its probability, the other so that the number of documents is kept
-        total = sum(p[i] for i in window)
-        if len(window) == 2:
-            first = min(window, key=lambda i: size[i])
-            p[first] = float(rng.random() < p[first])
-            rest = total - p[first]
-            other = window[0] if window[1] == first else window[1]
-            p[other] = float(rng.random() < min(1.0, max(0.0, rest)))
-        elif window:
-            p[window[0]] = float(rng.random() < p[window[0]])
+    if land:
+        for i in window:  # two units at most
+            p[i] = float(rng.random() < p[i])
+        off = sum(s * (x - w) for s, x, w in zip(size, p, wanted, strict=True))
+        repair(p, size, off, [i for i, w in enumerate(wanted) if 0 < w < 1])
     return p
 
 
+def repair(p: list[float], size: list[float], off: float, units: list[int], most: int = 4) -> None:
+    """After landing: swap a taken unit for one left out, where that brings the tokens nearer to what they should be."""
+    for _ in range(most):
+        inside = sorted((size[i], i) for i in units if p[i] == 1.0)
+        outside = sorted((size[i], i) for i in units if p[i] == 0.0)
+        best = (abs(off), None, None)
+        for s, i in inside:
+            k = bisect_left(outside, (s - off, -1))
+            for t, j in outside[max(0, k - 1) : k + 1]:
+                if abs(off - s + t) < best[0]:
+                    best = (abs(off - s + t), i, j)
+        if best[1] is None:
+            return
+        p[best[1]], p[best[2]] = 0.0, 1.0
+        off += size[best[2]] - size[best[1]]
+
+
 def targets(sizes: DataFrame, weights: tuple = WEIGHTS, most: float = MOST) -> DataFrame:
     """(src, source, source_size, target) from (source, source_size): shares by weight, the excess over most times a source reshared."""
     ranked = cut(with_index(sizes, [F.col("source").asc_nulls_last()], "src").withColumn("w", F.element_at(F.array(*map(F.lit, weights)), (F.col("src") % len(weights) + 1).cast("int"))).withColumn("capped", F.lit(False)))
