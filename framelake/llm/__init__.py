@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framelake.llm import license_scan, mixing, multi_index, near_dup, packing, quality, secret_scan, vector_dedup, warc_fixity
+from framelake.llm import license_scan, line_dedup, mixing, multi_index, near_dup, packing, quality, secret_scan, vector_dedup, warc_fixity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_nbsvm": quality.op1_quality_nbsvm,
         "op2_sequence_packing": packing.op2_sequence_packing,
+        "op3_line_dedup": line_dedup.op3_line_dedup,
         "op4_multi_index": multi_index.op4_multi_index,
         "op5_secret_scan": secret_scan.op5_secret_scan,
         "op6_warc_fixity": warc_fixity.op6_warc_fixity,

@@ -6,6 +6,7 @@ import os
 import sys
 import tempfile
 import types
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,12 +30,23 @@ def cut(df: DataFrame) -> DataFrame:
 
     Uses spark.checkpoint.dir; only where that is unset (local tests) a folder of this machine is set.
     """
-    spark = df.sparkSession
+    shared(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def shared(spark: SparkSession) -> str:
+    """The folder that all machines share."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        shared = sc.getConf().get("spark.checkpoint.dir", "")
-        sc.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "checkpoints"))
-    return df.checkpoint(eager=True)
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", "") or os.path.join(tempfile.gettempdir(), "checkpoints"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder, read again."""
+    path = f"{shared(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def kept(name: str, make: Callable):
