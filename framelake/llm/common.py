@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import sys
 import tempfile
@@ -49,6 +50,12 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Ask the driver's JVM to collect garbage now: only then Spark removes shuffle files that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def kept(name: str, make: Callable):
     """make(), once for each Python worker. Functions travel by value here, so module globals would not last."""
     store = sys.modules.setdefault("_framelake_worker", types.ModuleType("_framelake_worker"))

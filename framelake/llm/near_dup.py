@@ -19,7 +19,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm.common import WORD, components, cut, grouped, table
+from framelake.llm.common import WORD, components, cut, grouped, release, table
 
 ROWS, BANDS, BITS, SAMPLES = 4, 24, 1024, 192
 #: Sketches may understate a similarity by this much before a pair is given up: five deviations of the estimate and more.
@@ -148,20 +148,28 @@ def described(docs: DataFrame, n: int, rows: int = ROWS, bands: int = BANDS, cou
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Pairs (a, b) with 100 * intersection >= percent * union on full sets, which are made anew for the documents in pairs."""
+    """Pairs (a, b) with 100 * intersection >= percent * union on full sets.
+
+    Texts travel, as they compress better than the hashes of their sets; a batch makes the set of a text once.
+    """
 
     def run(frames: Iterator):
         import numpy as np
         import pandas as pd
 
         for f in frames:
-            yield pd.DataFrame({"id": f["doc_id"], "set": [s.view(np.int64) for s in shingled(f["text"], n)]})
+            texts = pd.concat([f["ta"], f["tb"]], ignore_index=True)
+            codes, unique = pd.factorize(texts)
+            sets = shingled(list(unique), n)
+            keep = np.zeros(len(f), bool)
+            for i, (p, q) in enumerate(zip(codes[: len(f)], codes[len(f) :], strict=True)):
+                x, y = sets[p], sets[q]
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                keep[i] = 100 * common >= percent * (len(x) + len(y) - common)
+            yield f.loc[keep, ["a", "b"]]
 
-    used = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = cut(docs.join(used, "doc_id", "left_semi").mapInPandas(run, "id long, set array<long>"))
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    return both.where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b").distinct()
+    side = lambda x: docs.select(F.col("doc_id").alias(x), F.col("text").alias(f"t{x}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(run, "a long, b long").distinct()
 
 
 def in_bucket(frame, limit: float, percent: int, block: int = BLOCK):
@@ -204,14 +212,18 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     side = lambda x: reps.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
     apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     star = star.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).where(apart <= limit).select("a", "b").distinct()
-    links = cut(confirmed(cut(star), docs, n, percent))
+    star = cut(star)
+    links = cut(confirmed(star, docs, n, percent))
+    del star
+    release(docs.sparkSession)
     comp = components(links)
     # Second round: pairs in a bucket that are in different components as yet.
     named = flat.join(hubs.select("key"), "key", "left_semi").join(comp, "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
     several = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
     rest = named.join(several, "key", "left_semi").join(reps.select("id", "n", "sketch"), "id").select("key", F.col("id").alias("doc"), "n", "comp", "sketch")
     more = cut(grouped(rest, ["key"], ["doc"], lambda key, f: in_bucket(f, limit, percent), "a long, b long").distinct())
-    more = confirmed(more, docs, n, percent)
+    more = cut(confirmed(more, docs, n, percent))
+    release(docs.sparkSession)
     comp = components(links.unionByName(more).unionByName(same))
     sizes = info.groupBy("doc_id").agg(F.max("n").alias("n_shingles"))
     out = sizes.join(comp, sizes.doc_id == comp.id, "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
