@@ -25,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from framelake.llm.common import cut, table
+from framelake.llm.common import cut, release, table
 
 BUCKETS, NEAR, LAST = 1 << 16, 8, (1 << 63) - 1
 SPACES = r"[\x20\x09-\x0D]+"
@@ -78,6 +78,7 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
     side = lambda d, k: sets.select(F.col("doc").alias(d[0]), F.col("line").alias(d[1]), F.col("size").alias("s" + k), F.col("b1").alias("p" + k), F.col("b2").alias("q" + k))
     both = pairs.join(side(("doc", "line"), "u"), ["doc", "line"]).join(side(("ydoc", "yline"), "y"), ["ydoc", "yline"])
     apart = F.bit_count(F.col("pu").bitwiseXOR(F.col("py"))) + F.bit_count(F.col("qu").bitwiseXOR(F.col("qy")))
+    release(docs.sparkSession)
     both = cut(both.where(9 * (F.col("su") + F.col("sy") - apart) >= 8 * (F.col("su") + F.col("sy"))).select("doc", "line", "ydoc", "yline").distinct())
     used = both.select(F.explode(F.array(F.struct("doc", "line"), F.struct(F.col("ydoc").alias("doc"), F.col("yline").alias("line")))).alias("x")).select("x.*").distinct()
     full = lines_of(docs).join(used, ["doc", "line"], "left_semi").select("doc", "line", F.array_distinct(words(F.col("body"))).alias("w"))
@@ -96,13 +97,15 @@ def matched(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     met = F.filter(F.when(F.col("n") > NEAR + 1, F.concat("near", F.array("hub"))).otherwise(F.col("near")), lambda y: possible(F.col("size"), F.col("i"), y["size"], y["i"]) & ((y["doc"] < F.col("doc")) | (y["line"] < F.col("line"))))
     pairs = before.where("n > 1").select("doc", "line", F.explode(met).alias("y")).select("doc", "line", F.col("y.doc").alias("ydoc"), F.col("y.line").alias("yline")).distinct()
     first = cut(verified(cut(pairs), sets, docs))
+    release(docs.sparkSession)
     # Further down long lists: all that stand before.
     late = ranked.where(F.col("n") > NEAR + 2).join(first, ["doc", "line"], "left_anti")
     late = late.select("token", "doc", "line", F.col("size").alias("us"), F.col("i").alias("ui"), F.col("n").alias("un"))
     early = ranked.select("token", F.col("doc").alias("ydoc"), F.col("line").alias("yline"), F.col("size").alias("ys"), F.col("i").alias("yi"), F.col("n").alias("yn"))
     allowed = (F.col("yn") > 1) & (F.col("yn") < F.col("un") - NEAR) & possible(F.col("us"), F.col("ui"), F.col("ys"), F.col("yi"))
     pairs = late.join(early, (late.token == early.token) & allowed).select("doc", "line", "ydoc", "yline").distinct()
-    second = verified(cut(pairs), sets, docs)
+    second = cut(verified(cut(pairs), sets, docs))
+    release(docs.sparkSession)
     return sets.select("doc", "line"), first.unionByName(second).distinct()
 
 
