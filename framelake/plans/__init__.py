@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-AREAS: tuple = ()
+from framelake.plans import search  # noqa: E402
+
+AREAS: tuple = (search,)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
