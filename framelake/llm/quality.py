@@ -2,8 +2,9 @@
 
 Features are indicators of n-grams, hashed into DIM places: one and two words, and one to three word shapes (case, the marks a
 word ends with, whether it repeats the word before). Each is scaled by the log-count ratio of the classes, counted over all
-labelled training rows; a linear hinge-loss model is fitted by dual coordinate descent to unit vectors of a sample of about FIT
-training rows, and its margin is turned into a probability on a fifth of the sample that was kept out of the fit.
+a sample of at most COUNTED labelled training rows; a linear hinge-loss model is fitted by dual coordinate descent to unit
+vectors of about FIT of these, and its margin is turned into a probability on a fifth of them that was kept out of the fit.
+The sample's ids and labels, of bounded size, are broadcast, so that no text is moved.
 
 Null and empty texts have no n-gram and get the score of the bias. Rows are scored one by one. A doc_id with several labels
 counts as good if half of them or more are. Labels that are null are not used. Without labels of both classes every score is
@@ -17,9 +18,9 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm.common import table
+from framelake.llm.common import release, table
 
-DIM, FIT, EPOCHS, COST, LEAST = 1 << 18, 8000, 12, 1.0, 0.3
+DIM, COUNTED, FIT, EPOCHS, COST, LEAST = 1 << 18, 40_000, 5000, 12, 1.0, 0.3
 MARKS = ".,;:!?|*#$%&=+-_<>()[]{}\"'/\\"
 
 
@@ -135,6 +136,7 @@ def train(labelled: DataFrame, fit: int = FIT) -> dict:
         yield pd.DataFrame({"place": np.r_[used, -1], "bad": np.r_[n[0][used], size[0]], "good": np.r_[n[1][used], size[1]]})
 
     counts = labelled.select("text", "good").mapInPandas(counted, "place int, bad long, good long").groupBy("place").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).toPandas()
+    release(labelled.sparkSession)
     total = counts[counts["place"] < 0]
     bad, good = (int(total[c].sum()) for c in ("bad", "good"))
     if not bad or not good:
@@ -166,43 +168,61 @@ def train(labelled: DataFrame, fit: int = FIT) -> dict:
     return {"w": w.astype(np.float32), "r": r.astype(np.float32), "bias": bias, "a": a, "b": b}
 
 
-def scored(docs: DataFrame, model: dict, keys: list[str]) -> DataFrame:
-    """The keys (not null, any type that pandas keeps) and score of each row of docs."""
+def scores(texts, model: dict):
+    import numpy as np
+
     if "share" in model:
-        return docs.select(*keys, F.lit(float(model["share"])).alias("score"))
+        return np.full(len(texts), float(model["share"]))
+    m = margins(features(texts), model["w"], model["bias"], model["r"])
+    return 1 / (1 + np.exp(-np.clip(model["a"] * m + model["b"], -30, 30)))
+
+
+def scored(docs: DataFrame, model: dict, keys: list[str]) -> DataFrame:
+    """The columns keys, and score, of each row of docs."""
+
+    def run(batches: Iterator):
+        import pyarrow as pa
+
+        for b in batches:
+            score = pa.array(scores(b.column("_text").to_pylist(), model), pa.float64())
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), score], names=[*keys, "score"])
+
     kinds = dict(docs.dtypes)
+    return docs.select(*keys, F.col("text").alias("_text")).mapInArrow(run, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", score double")
 
-    def run(frames: Iterator):
-        import numpy as np
 
-        for f in frames:
-            m = margins(features(f["text"]), model["w"], model["bias"], model["r"])
-            out = f[keys].copy()
-            out["score"] = 1 / (1 + np.exp(-np.clip(model["a"] * m + model["b"], -30, 30)))
-            yield out
+def accepted(docs: DataFrame, model: dict, least: float = LEAST) -> DataFrame:
+    """The rows of docs whose score is at least so high, unchanged and where they are."""
+
+    def run(batches: Iterator):
+        import pyarrow as pa
+
+        at = docs_columns.index("text")
+        for b in batches:
+            yield b.filter(pa.array(scores(b.column(at).to_pylist(), model) >= least))
 
-    return docs.select(*keys, "text").mapInPandas(run, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", score double")
+    docs_columns = docs.columns
+    return docs.mapInArrow(run, docs.schema)
 
 
 def held_out(doc_id="doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))
 
 
-def fitted(docs: DataFrame, labels: DataFrame) -> dict:
-    good = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("good"))
-    return train(docs.select("doc_id", "text").where(~held_out()).join(good, "doc_id").select("text", "good"))
+def fitted(docs: DataFrame, labels: DataFrame, counted: int = COUNTED) -> dict:
+    """The model of the labelled rows that are not held out: all of them, or counted of them by a hash of doc_id."""
+    good = labels.where("doc_id is not null and quality is not null").where(~held_out()).groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("good"))
+    share = min(1.0, counted / max(1, good.count()))
+    sample = good.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * share)).limit(counted + counted // 10)
+    return train(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "good"))
 
 
 def op1_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = fitted(docs, table(spark, sf_dir, "labels"))
-    rows = scored(docs.withColumn("d", F.col("doc_id").cast("string")), model, ["d"]).withColumn("doc_id", F.col("d").cast("long"))
+    rows = scored(docs, fitted(docs, table(spark, sf_dir, "labels")), ["doc_id"])
     return rows.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= LEAST).cast("int").alias("predicted"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """documents without those the classifier, trained on their labelled rows, rejects. The scan gives a row the same id both times."""
-    model = fitted(docs, table(spark, sf_dir, "labels"))
-    rows = docs.withColumn("_uid", F.monotonically_increasing_id())
-    bad = scored(rows, model, ["_uid"]).where(F.col("score") < LEAST).select("_uid")
-    return rows.join(bad, "_uid", "left_anti").select(docs.columns)
+    """documents without those that the classifier, trained on their labelled rows, rejects."""
+    return accepted(docs, fitted(docs, table(spark, sf_dir, "labels")))
