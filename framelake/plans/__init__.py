@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framelake.plans import search  # noqa: E402
+from framelake.plans import lexical, search  # noqa: E402
 
-AREAS: tuple = (search,)
+AREAS: tuple = (search, lexical)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
