@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framelake.plans import detection, indexing, lexical, search  # noqa: E402
+from framelake.plans import detection, indexing, lexical, metrics, search, sequences  # noqa: E402
 
-AREAS: tuple = (search, lexical, indexing, detection)
+AREAS: tuple = (search, lexical, indexing, detection, sequences, metrics)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
