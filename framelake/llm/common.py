@@ -10,7 +10,7 @@ import types
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Arrow batches sent to Python are held to this many rows and bytes, whatever the length of texts.
@@ -56,6 +56,28 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+SIEVE = 1 << 22
+
+
+def sieve(rows: DataFrame, *keys: str) -> Callable[..., Column]:
+    """A condition that holds for every key of rows and for few others, while rows are fewer than its SIEVE bits.
+
+    It goes before a shuffled semi-join, which decides; the bits are a constant of fixed size, built from as many sums at most.
+    """
+    place = lambda cols: F.pmod(F.xxhash64(*cols), F.lit(SIEVE))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("_p") % 64).cast("int"))
+    words = [0] * (SIEVE // 64)
+    for at, bits in rows.select(place([F.col(k) for k in keys]).alias("_p")).groupBy((F.col("_p") / 64).cast("int").alias("w")).agg(F.bit_or(bit)).collect():
+        words[at] = bits
+    table = F.from_json(F.lit("[" + ",".join(map(str, words)) + "]"), "array<bigint>")
+
+    def held(*cols: Column) -> Column:
+        p = place(cols)
+        return F.call_function("shiftright", F.element_at(table, (p / 64).cast("int") + 1), (p % 64).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+    return held
+
+
 def kept(name: str, make: Callable):
     """make(), once for each Python worker. Functions travel by value here, so module globals would not last."""
     store = sys.modules.setdefault("_framelake_worker", types.ModuleType("_framelake_worker"))

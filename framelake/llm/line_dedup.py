@@ -9,7 +9,7 @@ A line is the set of its lower-cased words. It goes if a line before it, by (doc
 2. Lines with equal sets become one, at the earliest place.
 3. Two sets this similar share a word among the first size - ceil(0.8 size) + 1 in that order. Along each such word, ordered by
    place, a set meets the first and the NEAR sets before it, if sizes and the positions of the word allow the similarity.
-4. Of these pairs, those go on whose 128 parity bits allow the overlap: the bits that differ are at most the words that differ.
+4. Of these pairs, those go on whose 64 parity bits allow the overlap: the bits that differ are at most the words that differ.
    What is left is verified on the words themselves.
 5. Sets not decided so far that stand further down a word's list meet all others there, through the same filters. So groups of
    thousands of variants of one line cost no more than their size, and no pair is lost.
@@ -25,30 +25,31 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from framelake.llm.common import cut, release, table
+from framelake.llm.common import cut, release, sieve, table
 
-BUCKETS, NEAR, LAST = 1 << 16, 8, (1 << 63) - 1
-SPACES = r"[\x20\x09-\x0D]+"
+BUCKETS, NEAR, LAST = 1 << 16, 4, (1 << 63) - 1
+def pieces(body: Column) -> Column:
+    """Lower-cased words, with empty strings where there is more than one space."""
+    return F.split(F.regexp_replace(F.lower(body), r"[\x09-\x0D]", " "), " ", -1)
 
 
-def words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), SPACES), lambda w: w != "")
+def words(body: Column) -> Column:
+    return F.array_remove(pieces(body), "")
 
 
 def rarity(docs: DataFrame) -> Column:
     """A constant array: the class of each hash bucket of words, 0 to 127, rare first. The driver gets BUCKETS counts at most."""
-    flat = docs.select(F.explode(F.split(F.lower("text"), SPACES)).alias("w"))
+    flat = docs.select(F.explode(pieces(F.col("text"))).alias("w"))
     classes = [0] * BUCKETS
     for bucket, n in flat.groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).alias("bucket")).count().collect():
         classes[bucket] = min(127, int(4 * math.log2(n + 1)))
-    return F.from_json(F.lit("[" + ",".join(map(str, classes)) + "]"), "array<int>")
+    return F.from_json(F.lit("[" + ",".join(str(c << 56) for c in classes) + "]"), "array<bigint>")
 
 
 def ordered(line: Column, classes: Column) -> Column:
-    """The distinct words of a line as longs, rarest first."""
-    h = lambda w: F.xxhash64(w)
-    key = lambda w: F.shiftleft(F.element_at(classes, (F.pmod(h(w), F.lit(BUCKETS)) + 1).cast("int")).cast("long"), 56).bitwiseOR(h(w).bitwiseAND(F.lit((1 << 56) - 1)))
-    return F.sort_array(F.array_distinct(F.transform(words(line), key)))
+    """The distinct words of a line as longs, rarest first: class, then 56 bits of the word's hash."""
+    h = F.array_remove(F.array_distinct(F.transform(pieces(line), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+    return F.sort_array(F.transform(h, lambda x: F.element_at(classes, (F.pmod(x, F.lit(BUCKETS)) + 1).cast("int")).bitwiseOR(x.bitwiseAND(F.lit((1 << 56) - 1)))))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -56,15 +57,15 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 
 def distinct_sets(docs: DataFrame) -> DataFrame:
-    """(doc, line, size, prefix, b1, b2) of each distinct set, at its earliest place."""
+    """(doc, line, size, prefix, bits) of each distinct set, at its earliest place."""
     rows = lines_of(docs).select("doc", "line", ordered(F.col("body"), rarity(docs)).alias("t")).where(F.size("t") > 0)
-    bits = lambda shift: F.aggregate("t", F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(F.when(F.shiftright(x, 6).bitwiseAND(F.lit(1)) == shift, F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))).otherwise(F.lit(0).cast("long"))))
+    bits = F.aggregate("t", F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
     size = F.size("t")
     # The prefix only finds candidates, so 32 bits of a word are enough in it.
     prefix = F.transform(F.slice("t", F.lit(1), size - F.floor((4 * size + 4) / 5).cast("int") + 1), lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF)).cast("long") - F.lit(1 << 31))
-    rows = rows.select("doc", "line", size.alias("size"), F.xxhash64("t").alias("h1"), F.hash("t").alias("h2"), prefix.cast("array<int>").alias("prefix"), bits(0).alias("b1"), bits(1).alias("b2"))
-    one = rows.groupBy("h1", "h2", "size").agg(F.min(F.struct("doc", "line", "prefix", "b1", "b2")).alias("r"))
-    return one.select("r.doc", "r.line", "size", "r.prefix", "r.b1", "r.b2")
+    rows = rows.select("doc", "line", size.alias("size"), F.xxhash64("t").alias("h1"), F.hash("t").alias("h2"), prefix.cast("array<int>").alias("prefix"), bits.alias("bits"))
+    one = rows.groupBy("h1", "h2", "size").agg(F.min(F.struct("doc", "line", "prefix", "bits")).alias("r"))
+    return one.select("r.doc", "r.line", "size", "r.prefix", "r.bits")
 
 
 def possible(us: Column, ui: Column, ys: Column, yi: Column) -> Column:
@@ -75,13 +76,14 @@ def possible(us: Column, ui: Column, ys: Column, yi: Column) -> Column:
 
 def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
     """(doc, line) of the later sets of the pairs (doc, line, ydoc, yline) that are similar."""
-    side = lambda d, k: sets.select(F.col("doc").alias(d[0]), F.col("line").alias(d[1]), F.col("size").alias("s" + k), F.col("b1").alias("p" + k), F.col("b2").alias("q" + k))
+    side = lambda d, k: sets.select(F.col("doc").alias(d[0]), F.col("line").alias(d[1]), F.col("size").alias("s" + k), F.col("bits").alias("p" + k))
     both = pairs.join(side(("doc", "line"), "u"), ["doc", "line"]).join(side(("ydoc", "yline"), "y"), ["ydoc", "yline"])
-    apart = F.bit_count(F.col("pu").bitwiseXOR(F.col("py"))) + F.bit_count(F.col("qu").bitwiseXOR(F.col("qy")))
-    release(docs.sparkSession)
+    apart = F.bit_count(F.col("pu").bitwiseXOR(F.col("py")))
     both = cut(both.where(9 * (F.col("su") + F.col("sy") - apart) >= 8 * (F.col("su") + F.col("sy"))).select("doc", "line", "ydoc", "yline").distinct())
     used = both.select(F.explode(F.array(F.struct("doc", "line"), F.struct(F.col("ydoc").alias("doc"), F.col("yline").alias("line")))).alias("x")).select("x.*").distinct()
-    full = lines_of(docs).join(used, ["doc", "line"], "left_semi").select("doc", "line", F.array_distinct(words(F.col("body"))).alias("w"))
+    release(docs.sparkSession)
+    known = sieve(used, "doc", "line")
+    full = lines_of(docs).where(known(F.col("doc"), F.col("line"))).join(used, ["doc", "line"], "left_semi").select("doc", "line", F.array_distinct(words(F.col("body"))).alias("w"))
     both = both.join(full.withColumnRenamed("w", "wu"), ["doc", "line"]).join(full.select(F.col("doc").alias("ydoc"), F.col("line").alias("yline"), F.col("w").alias("wy")), ["ydoc", "yline"])
     return both.where(9 * F.size(F.array_intersect("wu", "wy")) >= 4 * (F.size("wu") + F.size("wy"))).select("doc", "line").distinct()
 
@@ -93,18 +95,19 @@ def matched(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     order = Window.partitionBy("token").orderBy("doc", "line")
     row = F.struct("doc", "line", "size", "i")
     ranked = flat.withColumn("n", F.row_number().over(order))
-    before = ranked.withColumn("near", F.collect_list(row).over(order.rowsBetween(-NEAR, -1))).withColumn("hub", F.first(row).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    met = F.filter(F.when(F.col("n") > NEAR + 1, F.concat("near", F.array("hub"))).otherwise(F.col("near")), lambda y: possible(F.col("size"), F.col("i"), y["size"], y["i"]) & ((y["doc"] < F.col("doc")) | (y["line"] < F.col("line"))))
-    pairs = before.where("n > 1").select("doc", "line", F.explode(met).alias("y")).select("doc", "line", F.col("y.doc").alias("ydoc"), F.col("y.line").alias("yline")).distinct()
-    first = cut(verified(cut(pairs), sets, docs))
+    before = ranked.withColumn("near", F.array(*[F.lag(row, k).over(order) for k in range(1, NEAR + 1)], F.first(row).over(order.rowsBetween(Window.unboundedPreceding, 0))))
+    before = before.where("n > 1").select("doc", "line", "size", "i", "n", F.posexplode("near").alias("k", "y")).where(f"k < n - 1 or k = {NEAR} and n > {NEAR} + 1")
+    met = possible(F.col("size"), F.col("i"), F.col("y.size"), F.col("y.i")) & ((F.col("y.doc") < F.col("doc")) | (F.col("y.line") < F.col("line")))
+    pairs = cut(before.where(met).select("doc", "line", F.col("y.doc").alias("ydoc"), F.col("y.line").alias("yline")).distinct())
+    first = cut(verified(pairs, sets, docs))
     release(docs.sparkSession)
     # Further down long lists: all that stand before.
     late = ranked.where(F.col("n") > NEAR + 2).join(first, ["doc", "line"], "left_anti")
     late = late.select("token", "doc", "line", F.col("size").alias("us"), F.col("i").alias("ui"), F.col("n").alias("un"))
     early = ranked.select("token", F.col("doc").alias("ydoc"), F.col("line").alias("yline"), F.col("size").alias("ys"), F.col("i").alias("yi"), F.col("n").alias("yn"))
     allowed = (F.col("yn") > 1) & (F.col("yn") < F.col("un") - NEAR) & possible(F.col("us"), F.col("ui"), F.col("ys"), F.col("yi"))
-    pairs = late.join(early, (late.token == early.token) & allowed).select("doc", "line", "ydoc", "yline").distinct()
-    second = cut(verified(cut(pairs), sets, docs))
+    pairs = cut(late.join(early, (late.token == early.token) & allowed).select("doc", "line", "ydoc", "yline").distinct())
+    second = cut(verified(pairs, sets, docs))
     release(docs.sparkSession)
     return sets.select("doc", "line"), first.unionByName(second).distinct()
 

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm.common import WORD, components, cut, grouped, release, table
+from framelake.llm.common import WORD, components, cut, grouped, release, sieve, table
 
 ROWS, BANDS, BITS, SAMPLES = 4, 24, 1024, 192
 #: Sketches may understate a similarity by this much before a pair is given up: five deviations of the estimate and more.
@@ -168,7 +168,9 @@ def confirmed(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFr
                 keep[i] = 100 * common >= percent * (len(x) + len(y) - common)
             yield f.loc[keep, ["a", "b"]]
 
-    side = lambda x: docs.select(F.col("doc_id").alias(x), F.col("text").alias(f"t{x}"))
+    used = sieve(pairs.select(F.explode(F.array("a", "b")).alias("id")), "id")
+    texts = docs.where(used(F.col("doc_id")))
+    side = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"t{x}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(run, "a long, b long").distinct()
 
 
