@@ -8,9 +8,6 @@ from framelake.functions import boxes
 from framelake.operators import detection as det
 from framelake.sources import catalog as c
 
-B = F.col("box")
-
-
 def r(col, n=6):
     return F.round(col, n)
 
@@ -57,7 +54,7 @@ def nms_capped(spark, d):
 
 
 def box_filters(spark, d):
-    return det.plausible(c.detections(spark, d), 560, 460, least_area=6000).select("det_id", boxes.area(B).alias("area"), *[v.alias(n) for v, n in zip(boxes.center(B), ("cx", "cy"), strict=True)])
+    return det.plausible(c.detections(spark, d), 560, 460, least_area=6000).select("det_id", boxes.area(F.col("box")).alias("area"), *[v.alias(n) for v, n in zip(boxes.center(F.col("box")), ("cx", "cy"), strict=True)])
 
 
 FILTER_SQL = c.sql("SELECT det_id, (x2-x1)*(y2-y1) AS area, (x1+x2)/2 AS cx, (y1+y2)/2 AS cy FROM boxes WHERE (x2-x1)*(y2-y1) >= 6000 AND (x2-x1)/(y2-y1) BETWEEN 0.1 AND 2.5 AND (x2-x1)*(y2-y1) < 0.8*560*460 AND x2-x1 < 280", "boxes")
@@ -93,8 +90,8 @@ SPATIAL_SQL = c.sql("SELECT a.det_id AS s_id, b.det_id AS o_id, " + ", ".join(f"
 def anchor_grid(spark, d):
     """Anchors of three feature maps, clipped to their images."""
     maps = spark.range(1, 4).select(F.col("id").alias("image"), (F.col("id") * 4).cast("int").alias("fh"), (F.col("id") * 5).cast("int").alias("fw"))
-    a = det.anchors(maps).withColumn("clipped", boxes.clip(B, F.col("image") * 80.0, F.col("image") * 64.0))
-    return a.select("image", "i", "j", "k", *[r(B[v], 4).alias(v) for v in ("x1", "y1", "x2", "y2")], r(boxes.area(F.col("clipped")), 2).alias("area"))
+    a = det.anchors(maps).withColumn("clipped", boxes.clip(F.col("box"), F.col("image") * 80.0, F.col("image") * 64.0))
+    return a.select("image", "i", "j", "k", *[r(F.col("box")[v], 4).alias(v) for v in ("x1", "y1", "x2", "y2")], r(boxes.area(F.col("clipped")), 2).alias("area"))
 
 
 ANCHOR_SQL = """WITH m AS (SELECT unnest([1, 2, 3]) AS image), g AS (SELECT image, unnest(range(image * 4)) AS i FROM m), h AS (SELECT image, i, unnest(range(image * 5)) AS j FROM g),
@@ -106,9 +103,9 @@ round((least(x2, image*80.0) - greatest(x1, 0)) * (least(y2, image*64.0) - great
 
 def delta_roundtrip(spark, d):
     """Boxes to deltas against a shifted box, and back; mirrored boxes beside."""
-    x = c.detections(spark, d).withColumn("roi", boxes.box(B["x1"] + 3, B["y1"] - 2, B["x2"] + 9, B["y2"] + 4)).withColumn("t", boxes.to_deltas(F.col("roi"), B))
-    x = x.withColumn("back", boxes.from_deltas(F.col("roi"), F.col("t"))).withColumn("m", boxes.flip(B, 560))
-    return x.select("det_id", *[r(F.col(f"t.{v}")).alias(v) for v in ("tx", "ty", "tw", "th")], *[r(F.col(f"back.{v}"), 4).alias(v) for v in ("x1", "y1", "x2", "y2")], F.col("m.x1").alias("mx1"), r(boxes.resize_scale(boxes.width(B), boxes.height(B))).alias("scale"))
+    x = c.detections(spark, d).withColumn("roi", boxes.box(F.col("box")["x1"] + 3, F.col("box")["y1"] - 2, F.col("box")["x2"] + 9, F.col("box")["y2"] + 4)).withColumn("t", boxes.to_deltas(F.col("roi"), F.col("box")))
+    x = x.withColumn("back", boxes.from_deltas(F.col("roi"), F.col("t"))).withColumn("m", boxes.flip(F.col("box"), 560))
+    return x.select("det_id", *[r(F.col(f"t.{v}")).alias(v) for v in ("tx", "ty", "tw", "th")], *[r(F.col(f"back.{v}"), 4).alias(v) for v in ("x1", "y1", "x2", "y2")], F.col("m.x1").alias("mx1"), r(boxes.resize_scale(boxes.width(F.col("box")), boxes.height(F.col("box")))).alias("scale"))
 
 
 DELTA_SQL = c.sql("""SELECT det_id, round(-6 / (x2-x1+6), 6) AS tx, round(-1 / (y2-y1+6), 6) AS ty, round(ln((x2-x1) / (x2-x1+6)), 6) AS tw, round(ln((y2-y1) / (y2-y1+6)), 6) AS th,
@@ -117,7 +114,7 @@ round(x1, 4) AS x1, round(y1, 4) AS y1, round(x2, 4) AS x2, round(y2, 4) AS y2,
 
 def merge_boxes(spark, d):
     """Greedy merging within image and class; what overlaps a merged box makes it grow. A fold with growing state: no SQL."""
-    return det.merged_boxes(c.detections(spark, d), ["image", "label"]).select("image", "label", "pos", "n", r(boxes.area(B), 2).alias("area"))
+    return det.merged_boxes(c.detections(spark, d), ["image", "label"]).select("image", "label", "pos", "n", r(boxes.area(F.col("box")), 2).alias("area"))
 
 
 def background_windows(spark, d):
