@@ -1,7 +1,7 @@
 """License scans: sentences that licences are known by, and ordered rules over the sequence of their identifiers.
 
-Text is split after sentence ends before white space; a sentence not known as a whole is looked at line by line. Sentences are
-lower-cased, everything but a-z and 0-9 becomes one space, and looked up. The identifiers of a document, in order, are matched
+Text is split after sentence ends before white space. Lines of other matter may stand before a sentence: of its last lines the
+most that are known as a whole count, those before are looked up one by one. Sentences are lower-cased, everything but a-z and 0-9 becomes one space, and looked up. The identifiers of a document, in order, are matched
 by the rules in turn; what a rule matches is taken out before the next, so that a longer licence hides the shorter ones in it.
 Documents without any of the words that every known sentence has one of are answered without splitting.
 All of it is built-in functions. Null and empty texts: no licence. Rows are answered one by one, other columns ignored.
@@ -74,6 +74,9 @@ RULES = (
 #: Where sentences end: at a mark after two characters and before white space, and at a colon that ends a line.
 ENDS = r"""([^ \t\r\n][^ \t\r\n][.!?]["')]?)[ \t\r\n]+|(:)[ \t\r]*\n[ \t\r\n]*"""
 
+#: No known sentence has as many words, so none is spread over as many lines.
+LINES = 80
+
 
 def normal(sentence: str) -> str:
     return re.sub(r"[^a-z0-9]+", " ", sentence.lower()).strip()
@@ -89,7 +92,15 @@ def identifiers(text: Column) -> Column:
     known = F.create_map(*[F.lit(x) for k, s in SENTENCES.items() for x in (normal(s), k)])
     look = lambda s: F.try_element_at(known, F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
     cut = F.split(F.regexp_replace(text, ENDS, "$1$2\x01"), "\x01")
-    each = F.transform(cut, lambda s: F.when(look(s).isNotNull(), F.array(look(s))).otherwise(F.transform(F.split(s, "\n"), look)))
+
+    def found(s: Column) -> Column:
+        lines = F.split(s, "\n")
+        n = F.size(lines)
+        tails = F.transform(F.sequence(F.greatest(F.lit(0), n - LINES), n - 1), lambda i: F.struct(i.alias("i"), look(F.array_join(F.slice(lines, i + 1, n - i), " ")).alias("id")))
+        first = F.get(F.filter(tails, lambda t: t["id"].isNotNull()), F.lit(0))
+        return F.when(first.isNull(), F.transform(lines, look)).otherwise(F.concat(F.transform(F.slice(lines, F.lit(1), first["i"]), look), F.array(first["id"])))
+
+    each = F.transform(cut, found)
     return F.filter(F.flatten(each), lambda x: x.isNotNull())
 
 
@@ -121,7 +132,9 @@ def sql() -> str:
     marked = " OR ".join(f"contains(lower(text), {q(m)})" for m in MARKS)
     ctes = [
         f"k AS (SELECT doc_id, CASE WHEN {marked} THEN string_split(regexp_replace(text, {q(ENDS)}, '\\1\\2' || chr(1), 'g'), chr(1)) ELSE [] END AS s FROM documents)",
-        f"i AS (SELECT doc_id, list_filter(flatten(list_transform(s, lambda x: CASE WHEN {look('x')} IS NOT NULL THEN [{look('x')}] ELSE list_transform(string_split(x, chr(10)), lambda l: {look('l')}) END)), lambda x: x IS NOT NULL) AS ids FROM k)",
+        "l AS (SELECT doc_id, n, string_split(x, chr(10)) AS l FROM (SELECT doc_id, unnest(s) AS x, generate_subscripts(s, 1) AS n FROM k))",
+        f"t AS (SELECT doc_id, n, l, list_filter(list_transform(range(greatest(0, len(l) - {LINES}), len(l)), lambda i: {{'i': i, 'id': {look("array_to_string(l[i + 1:], ' ')")}}}), lambda h: h.id IS NOT NULL)[1] AS f FROM l)",
+        f"i AS (SELECT k.doc_id, list_filter(flatten(coalesce(list(CASE WHEN f IS NULL THEN list_transform(l, lambda x: {look('x')}) ELSE list_append(list_transform(l[:f.i], lambda x: {look('x')}), f.id) END ORDER BY n) FILTER (n IS NOT NULL), [])), lambda x: x IS NOT NULL) AS ids FROM k LEFT JOIN t ON t.doc_id = k.doc_id GROUP BY k.doc_id)",
         "s0 AS (SELECT doc_id, array_to_string(ids, ',') AS sentences, ',' || array_to_string(ids, ',') || ',' AS rest, '' AS names FROM i)",
     ]
     for n, (name, rule) in enumerate(RULES):

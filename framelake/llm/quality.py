@@ -154,7 +154,7 @@ def train(labelled: DataFrame, fit: int = FIT) -> dict:
 
     chosen = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, fit / (bad + good)))
     sample = labelled.where(chosen).select("text", "good", F.xxhash64("text").alias("order")).mapInPandas(listed, "x array<int>, good int, order long").toPandas().sort_values("order", kind="stable")
-    rows, y = [np.asarray(x) for x in sample["x"]], sample["good"].to_numpy()
+    rows, y = [np.asarray(x, np.int32) for x in sample["x"]], sample["good"].to_numpy()
     out = np.arange(len(rows)) % 5 == 0
     if len(set(y[~out].tolist())) < 2 or len(set(y[out].tolist())) < 2:
         out[:] = False
