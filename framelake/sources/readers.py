@@ -111,8 +111,8 @@ def embedded(tokens: DataFrame, words: DataFrame, key: str, dim: int = 50) -> Da
     """(key, v): mean vector of the words of tokens (key, words array); a word is looked up as it is, with s, without its last
     letter or two, and else gets numbers from its hash, the same everywhere."""
     flat = tokens.select(key, F.posexplode("words").alias("pos", "w"))
-    forms = flat.select(key, "pos", "w", F.posexplode(F.array("w", F.concat("w", F.lit("s")), F.expr("substring(w, 1, greatest(length(w) - 1, 0))"), F.expr("substring(w, 1, greatest(length(w) - 2, 0))"))).alias("k", "form"))
-    hit = forms.join(words.withColumnRenamed("word", "form"), "form", "left").groupBy(key, "pos", "w").agg(F.min_by("v", F.when(F.col("v").isNotNull(), F.col("k"))).alias("v"))
+    forms = flat.select(key, "pos", "w", F.posexplode(F.array("w", F.concat("w", F.lit("s")), F.expr("substring(w, 1, greatest(length(w) - 1, 0))"), F.expr("substring(w, 1, greatest(length(w) - 2, 0))"))).alias("_form", "form"))
+    hit = forms.join(words.withColumnRenamed("word", "form"), "form", "left").groupBy(key, "pos", "w").agg(F.min_by("v", F.when(F.col("v").isNotNull(), F.col("_form"))).alias("v"))
     made = F.transform(F.sequence(F.lit(1), F.lit(dim)), lambda i: F.pmod(F.xxhash64("w", i), F.lit(2001)) / 1000.0 - 1)
     each = hit.select(key, F.posexplode(F.coalesce("v", made)).alias("i", "x")).groupBy(key, "i").agg(F.avg("x").alias("x"))
     return each.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("v"))
