@@ -3,8 +3,8 @@
 A document's set holds the 64-bit hashes of its distinct shingles of words. Documents with equal sets are one class, found by
 a hash of the sorted set. Of each class one document goes on: BANDS bands of ROWS MinHash values give bucket keys, and an odd sketch (the parity
 of how many MinHash samples fall on each of BITS places) goes with them. In a bucket, documents are first paired with the
-bucket's earliest only, then - in the second round - with those that are not yet in one component with them; a pair is a
-candidate if the XOR population count of the two sketches allows the similarity, with a margin of several deviations. Each
+bucket's earliest only - in EARLY bands, then in the others as far as that leaves something open -, then with those that are not
+yet in one component with them; a pair is a candidate, in the first band it meets in, if the XOR population count of the two sketches allows the similarity, with a margin of several deviations. Each
 candidate is confirmed on full sets. Components are the result, so pairs within a component are not needed, whatever its size.
 
 Words are runs of characters other than space and the five ASCII controls after backspace, A-Z lowered. Fewer words than a
@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framelake.llm.common import WORD, components, cut, grouped, release, sieve, table
@@ -25,7 +25,9 @@ ROWS, BANDS, BITS, SAMPLES = 4, 24, 1024, 192
 #: Sketches may understate a similarity by this much before a pair is given up: five deviations of the estimate and more.
 MARGIN = 0.16
 #: Rows of a bucket compared at once, and words hashed at once.
-BLOCK, CHUNK = 512, 1 << 16
+BLOCK, CHUNK, SHARE = 512, 1 << 16, 2000
+#: Bands of the first round, which settles most copies before the others are looked at.
+EARLY = 4
 
 
 def hashed(documents: list[list[str]], n: int) -> list:
@@ -174,31 +176,37 @@ def confirmed(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFr
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(run, "a long, b long").distinct()
 
 
-def in_bucket(frame, limit: float, percent: int, block: int = BLOCK):
-    """Pairs of different components in one bucket that their sketches allow; frame: doc, comp, size, sketch by doc."""
+def in_bucket(key: int, frame, limit: float, percent: int, block: int = BLOCK):
+    """Pairs of different components in one bucket, or in two shares of it, that sketches allow and that meet in no earlier band."""
     import numpy as np
     import pandas as pd
 
-    ids, comp = frame["doc"].to_numpy(), frame["comp"].to_numpy()
-    sizes = frame["n"].to_numpy()
+    ids, comp, sizes, side = (frame[c].to_numpy() for c in ("doc", "comp", "n", "side"))
+    keys = np.stack(frame["keys"].to_numpy()).astype(np.int64)
+    band = int(np.argmax(keys[0] == key))
     bits = np.unpackbits(np.stack(frame["sketch"].to_numpy()).astype(np.int64).view(np.uint8), axis=1).astype(np.float32)
     ones = bits.sum(1)
     out = []
-    for i in range(0, len(ids), block):
-        for j in range(0, i + block, block):
-            if j >= len(ids):
-                break
-            apart = ones[i : i + block, None] + ones[None, j : j + block] - 2 * (bits[i : i + block] @ bits[j : j + block].T)
-            x, y = sizes[i : i + block, None], sizes[None, j : j + block]
-            ok = (apart <= limit) & (comp[i : i + block, None] != comp[None, j : j + block]) & (ids[i : i + block, None] > ids[None, j : j + block])
-            ok &= 100 * np.minimum(x, y) >= percent * np.maximum(x, y)
+    one, two = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+    for i in range(0, len(one), block):
+        for j in range(0, len(two), block):
+            u, v = one[i : i + block], two[j : j + block]
+            apart = ones[u, None] + ones[None, v] - 2 * (bits[u] @ bits[v].T)
+            x, y = sizes[u, None], sizes[None, v]
+            ok = (apart <= limit) & (comp[u, None] != comp[None, v]) & (100 * np.minimum(x, y) >= percent * np.maximum(x, y))
             p, q = np.nonzero(ok)
-            out.append(pd.DataFrame({"a": ids[i + p], "b": ids[j + q]}))
-    return pd.concat(out, ignore_index=True)
+            p, q = u[p], v[q]
+            keep = ~(keys[p, :band] == keys[q, :band]).any(1)
+            if side[0] == 2:
+                keep &= ids[p] > ids[q]
+            p, q = p[keep], q[keep]
+            out.append(pd.DataFrame({"a": np.maximum(ids[p], ids[q]), "b": np.minimum(ids[p], ids[q])}))
+    return pd.concat(out, ignore_index=True) if out else None
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each doc_id of docs (doc_id, text)."""
+    spark = docs.sparkSession
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     info = cut(described(docs, n))
     full = info.where("n > 0")
@@ -206,26 +214,36 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     first = classes.select("c1", "c2", "n", F.col("r.doc_id").alias("first"))
     same = full.select("doc_id", "c1", "c2", "n").join(first, ["c1", "c2", "n"]).where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
     reps = classes.select(F.col("r.doc_id").alias("id"), "n", F.col("r.keys").alias("keys"), F.col("r.sketch").alias("sketch"))
-    flat = reps.select("id", F.explode("keys").alias("key")).distinct()
-    hubs = cut(flat.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("c")).where("c > 1").select("key", "hub"))
     limit = allowed(percent / 100)
-    # First round: with the earliest document of each bucket.
-    star = flat.join(hubs, "key").where("id > hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
-    side = lambda x: reps.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
-    apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    star = star.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).where(apart <= limit).select("a", "b").distinct()
-    star = cut(star)
-    links = cut(confirmed(star, docs, n, percent))
-    del star
-    release(docs.sparkSession)
+
+    def star(low: int, high: int) -> DataFrame:
+        """Each document with the earliest of its bucket, for a range of bands."""
+        flat = reps.select("id", "n", F.explode(F.slice("keys", low + 1, high - low)).alias("key"))
+        w = Window.partitionBy("key").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        rows = flat.withColumn("hub", F.first(F.struct("id", "n")).over(w)).where("id > hub.id").where(100 * F.least("n", "hub.n") >= percent * F.greatest("n", "hub.n"))
+        return rows.select(F.col("id").alias("a"), F.col("hub.id").alias("b")).distinct()
+
+    def close(pairs: DataFrame) -> DataFrame:
+        side = lambda x: reps.select(F.col("id").alias(x), F.col("sketch").alias(f"s{x}"))
+        apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+        return cut(pairs.join(side("a"), "a").join(side("b"), "b").where(apart <= limit).select("a", "b").distinct())
+
+    links = cut(confirmed(close(star(0, EARLY)), docs, n, percent))
+    comp = components(links)
+    # The other bands, without the pairs whose earlier document is already known to be reachable.
+    known = comp.select(F.col("id").alias("a"), F.col("component").alias("b"))
+    links = links.unionByName(cut(confirmed(close(star(EARLY, BANDS).join(known, ["a", "b"], "left_anti")), docs, n, percent)))
+    release(spark)
     comp = components(links)
-    # Second round: pairs in a bucket that are in different components as yet.
-    named = flat.join(hubs.select("key"), "key", "left_semi").join(comp, "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
-    several = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    rest = named.join(several, "key", "left_semi").join(reps.select("id", "n", "sketch"), "id").select("key", F.col("id").alias("doc"), "n", "comp", "sketch")
-    more = cut(grouped(rest, ["key"], ["doc"], lambda key, f: in_bucket(f, limit, percent), "a long, b long").distinct())
+    # Pairs in a bucket that are in different components as yet; a large bucket is cut into shares, of which two meet at a time.
+    named = reps.join(comp, "id", "left").select("id", F.coalesce("component", "id").alias("comp"), F.explode("keys").alias("key"))
+    several = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).where("lo <> hi").select("key", F.ceil(F.col("c") / SHARE).cast("int").alias("shares"))
+    placed = named.join(several, "key").withColumn("share", F.pmod(F.xxhash64("id", "key"), F.col("shares")).cast("int"))
+    others = F.transform(F.sequence(F.lit(0), F.col("shares") - 1), lambda o: F.struct(F.least(o, F.col("share")).alias("x"), F.greatest(o, F.col("share")).alias("y"), F.when(o == F.col("share"), 2).when(o > F.col("share"), 0).otherwise(1).alias("side")))
+    work = placed.select("key", "id", "comp", F.explode(others).alias("s")).select("key", "id", "comp", "s.x", "s.y", "s.side").join(reps, "id").withColumnRenamed("id", "doc")
+    more = cut(grouped(work, ["key", "x", "y"], ["doc"], lambda key, f: in_bucket(key[0], f, limit, percent), "a long, b long").distinct())
     more = cut(confirmed(more, docs, n, percent))
-    release(docs.sparkSession)
+    release(spark)
     comp = components(links.unionByName(more).unionByName(same))
     sizes = info.groupBy("doc_id").agg(F.max("n").alias("n_shingles"))
     out = sizes.join(comp, sizes.doc_id == comp.id, "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
