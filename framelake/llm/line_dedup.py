@@ -11,8 +11,8 @@ A line is the set of its lower-cased words. It goes if a line before it, by (doc
    place, a set meets the first and the NEAR sets before it, if sizes and the positions of the word allow the similarity.
 4. Of these pairs, those go on whose 64 parity bits allow the overlap: the bits that differ are at most the words that differ.
    What is left is verified on the words themselves.
-5. Sets not decided so far that stand further down a word's list meet all others there, through the same filters. So groups of
-   thousands of variants of one line cost no more than their size, and no pair is lost.
+5. Sets not decided so far meet all before them in the lists that are longer than that, through the same filters. So groups of
+   thousands of variants of one line cost little more than their size, and no pair is lost.
 
 Null text stays null. Null doc_id comes last. Where a doc_id repeats, a line number stays if the line at it stays in any of the
 rows; rows at the same place leave one another alone. A document whose lines all go stays, with an empty text.
@@ -58,7 +58,8 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 def distinct_sets(docs: DataFrame) -> DataFrame:
     """(doc, line, size, prefix, bits) of each distinct set, at its earliest place."""
-    rows = lines_of(docs).select("doc", "line", ordered(F.col("body"), rarity(docs)).alias("t")).where(F.size("t") > 0)
+    # A condition on the set itself would be worked out below the set a second time.
+    rows = lines_of(docs).where(F.rlike("body", F.lit(r"[^\x20\x09-\x0D]"))).select("doc", "line", ordered(F.col("body"), rarity(docs)).alias("t"))
     bits = F.aggregate("t", F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
     size = F.size("t")
     # The prefix only finds candidates, so 32 bits of a word are enough in it.
@@ -83,8 +84,10 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
     used = both.select(F.explode(F.array(F.struct("doc", "line"), F.struct(F.col("ydoc").alias("doc"), F.col("yline").alias("line")))).alias("x")).select("x.*").distinct()
     release(docs.sparkSession)
     known = sieve(used, "doc", "line")
-    full = lines_of(docs).where(known(F.col("doc"), F.col("line"))).join(used, ["doc", "line"], "left_semi").select("doc", "line", F.array_distinct(words(F.col("body"))).alias("w"))
-    both = both.join(full.withColumnRenamed("w", "wu"), ["doc", "line"]).join(full.select(F.col("doc").alias("ydoc"), F.col("line").alias("yline"), F.col("w").alias("wy")), ["ydoc", "yline"])
+    full = lines_of(docs).where(known(F.col("doc"), F.col("line"))).join(used, ["doc", "line"], "left_semi")
+    # Bodies travel; arrays of words would be several times their size.
+    both = both.join(full, ["doc", "line"]).join(full.select(F.col("doc").alias("ydoc"), F.col("line").alias("yline"), F.col("body").alias("ybody")), ["ydoc", "yline"])
+    both = both.select("doc", "line", F.array_distinct(words(F.col("body"))).alias("wu"), F.array_distinct(words(F.col("ybody"))).alias("wy"))
     return both.where(9 * F.size(F.array_intersect("wu", "wy")) >= 4 * (F.size("wu") + F.size("wy"))).select("doc", "line").distinct()
 
 
@@ -101,12 +104,14 @@ def matched(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     pairs = cut(before.where(met).select("doc", "line", F.col("y.doc").alias("ydoc"), F.col("y.line").alias("yline")).distinct())
     first = cut(verified(pairs, sets, docs))
     release(docs.sparkSession)
-    # Further down long lists: all that stand before.
-    late = ranked.where(F.col("n") > NEAR + 2).join(first, ["doc", "line"], "left_anti")
-    late = late.select("token", "doc", "line", F.col("size").alias("us"), F.col("i").alias("ui"), F.col("n").alias("un"))
-    early = ranked.select("token", F.col("doc").alias("ydoc"), F.col("line").alias("yline"), F.col("size").alias("ys"), F.col("i").alias("yi"), F.col("n").alias("yn"))
-    allowed = (F.col("yn") > 1) & (F.col("yn") < F.col("un") - NEAR) & possible(F.col("us"), F.col("ui"), F.col("ys"), F.col("yi"))
-    pairs = cut(late.join(early, (late.token == early.token) & allowed).select("doc", "line", "ydoc", "yline").distinct())
+    # In lists that go on, what is undecided meets all that stand before. What the sieve lets through is undecided for certain.
+    held = sieve(first, "doc", "line")(F.col("doc"), F.col("line"))
+    open_sets = sets.where(~held).unionByName(sets.where(held).join(first, ["doc", "line"], "left_anti"))
+    long = flat.groupBy("token").agg(F.count("*").alias("c")).where(F.col("c") > NEAR + 1).select("token")
+    late = open_sets.select("doc", "line", F.col("size").alias("us"), F.posexplode("prefix").alias("ui", "token")).join(long, "token", "left_semi")
+    early = flat.join(long, "token", "left_semi").select("token", F.col("doc").alias("ydoc"), F.col("line").alias("yline"), F.col("size").alias("ys"), F.col("i").alias("yi"))
+    before = (F.col("ydoc") < F.col("doc")) | ((F.col("ydoc") == F.col("doc")) & (F.col("yline") < F.col("line")))
+    pairs = cut(late.join(early, (late.token == early.token) & before & possible(F.col("us"), F.col("ui"), F.col("ys"), F.col("yi"))).select("doc", "line", "ydoc", "yline").distinct())
     second = cut(verified(pairs, sets, docs))
     release(docs.sparkSession)
     return sets.select("doc", "line"), first.unionByName(second).distinct()
