@@ -76,13 +76,11 @@ def descend(rows: list, y, r, cost, epochs: int = EPOCHS, seed: int = 3):
 
     rng = np.random.RandomState(seed)
     w, bias, alpha = np.zeros(len(r)), 0.0, np.zeros(len(rows))
-    scaled = []
-    for x in rows:
-        v = r[x]
-        scaled.append(v / max(1e-12, np.sqrt(v @ v)))
+    scale = [1 / max(1e-12, float(np.sqrt(r[x] @ r[x]))) for x in rows]
     for _ in range(epochs):
         for i in rng.permutation(len(rows)):
-            x, v = rows[i], scaled[i]
+            x = rows[i]
+            v = r[x] * scale[i]
             gradient = y[i] * (w[x] @ v + bias) - 1
             old = alpha[i]
             alpha[i] = min(max(old - gradient / (v @ v + 1), 0.0), cost[i])
