@@ -8,9 +8,9 @@ A line is the set of its lower-cased words. It goes if a line before it, by (doc
    prefix filtering needs to be exact.
 2. Lines with equal sets become one, at the earliest place.
 3. Two sets this similar share a word among the first size - ceil(0.8 size) + 1 in that order. Along each such word, ordered by
-   place, a set meets the first and the NEAR sets before it, if sizes and the positions of the word allow the similarity.
-4. Of these pairs, those go on whose 64 parity bits allow the overlap: the bits that differ are at most the words that differ.
-   What is left is verified on the words themselves.
+   place, a set meets the first and the NEAR sets before it, if sizes, the positions of the word and 64 parity bits allow the
+   similarity: the bits that differ are at most the words that differ.
+4. What is left is verified on the words themselves.
 5. Sets not decided so far meet all before them in the lists that are longer than that, through the same filters. So groups of
    thousands of variants of one line cost little more than their size, and no pair is lost.
 
@@ -69,20 +69,15 @@ def distinct_sets(docs: DataFrame) -> DataFrame:
     return one.select("r.doc", "r.line", "size", "r.prefix", "r.bits")
 
 
-def possible(us: Column, ui: Column, ys: Column, yi: Column) -> Column:
-    """Sizes, and the positions of a shared word, that allow Jaccard 0.8."""
+def possible(us: Column, ui: Column, ub: Column, ys: Column, yi: Column, yb: Column) -> Column:
+    """Sizes, the positions of a shared word, and parity bits that allow Jaccard 0.8."""
     need = F.floor((4 * (us + ys) + 8) / 9)
-    return (5 * ys >= 4 * us) & (5 * us >= 4 * ys) & (1 + F.least(us - ui, ys - yi) - 1 >= need)
+    return (5 * ys >= 4 * us) & (5 * us >= 4 * ys) & (F.least(us - ui, ys - yi) >= need) & (us + ys - F.bit_count(ub.bitwiseXOR(yb)) >= 2 * need)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
+def verified(both: DataFrame, docs: DataFrame) -> DataFrame:
     """(doc, line) of the later sets of the pairs (doc, line, ydoc, yline) that are similar."""
-    side = lambda d, k: sets.select(F.col("doc").alias(d[0]), F.col("line").alias(d[1]), F.col("size").alias("s" + k), F.col("bits").alias("p" + k))
-    both = pairs.join(side(("doc", "line"), "u"), ["doc", "line"]).join(side(("ydoc", "yline"), "y"), ["ydoc", "yline"])
-    apart = F.bit_count(F.col("pu").bitwiseXOR(F.col("py")))
-    both = cut(both.where(9 * (F.col("su") + F.col("sy") - apart) >= 8 * (F.col("su") + F.col("sy"))).select("doc", "line", "ydoc", "yline").distinct())
     used = both.select(F.explode(F.array(F.struct("doc", "line"), F.struct(F.col("ydoc").alias("doc"), F.col("yline").alias("line")))).alias("x")).select("x.*").distinct()
-    release(docs.sparkSession)
     known = sieve(used, "doc", "line")
     full = lines_of(docs).where(known(F.col("doc"), F.col("line"))).join(used, ["doc", "line"], "left_semi")
     # Bodies travel; arrays of words would be several times their size.
@@ -94,25 +89,27 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
 def matched(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The distinct sets (doc, line) of docs, and those of them that an earlier set is similar to."""
     sets = cut(distinct_sets(docs))
-    flat = sets.select("doc", "line", "size", F.posexplode("prefix").alias("i", "token"))
+    flat = sets.select("doc", "line", "size", "bits", F.posexplode("prefix").alias("i", "token"))
     order = Window.partitionBy("token").orderBy("doc", "line")
-    row = F.struct("doc", "line", "size", "i")
+    row = F.struct("doc", "line", "size", "i", "bits")
     ranked = flat.withColumn("n", F.row_number().over(order))
     before = ranked.withColumn("near", F.array(*[F.lag(row, k).over(order) for k in range(1, NEAR + 1)], F.first(row).over(order.rowsBetween(Window.unboundedPreceding, 0))))
-    before = before.where("n > 1").select("doc", "line", "size", "i", "n", F.posexplode("near").alias("k", "y")).where(f"k < n - 1 or k = {NEAR} and n > {NEAR} + 1")
-    met = possible(F.col("size"), F.col("i"), F.col("y.size"), F.col("y.i")) & ((F.col("y.doc") < F.col("doc")) | (F.col("y.line") < F.col("line")))
+    before = before.where("n > 1").select("doc", "line", "size", "i", "bits", "n", F.posexplode("near").alias("k", "y")).where(f"k < n - 1 or k = {NEAR} and n > {NEAR} + 1")
+    met = possible(F.col("size"), F.col("i"), F.col("bits"), F.col("y.size"), F.col("y.i"), F.col("y.bits")) & ((F.col("y.doc") < F.col("doc")) | (F.col("y.line") < F.col("line")))
     pairs = cut(before.where(met).select("doc", "line", F.col("y.doc").alias("ydoc"), F.col("y.line").alias("yline")).distinct())
-    first = cut(verified(pairs, sets, docs))
+    release(docs.sparkSession)
+    first = cut(verified(pairs, docs))
     release(docs.sparkSession)
     # In lists that go on, what is undecided meets all that stand before. What the sieve lets through is undecided for certain.
     held = sieve(first, "doc", "line")(F.col("doc"), F.col("line"))
     open_sets = sets.where(~held).unionByName(sets.where(held).join(first, ["doc", "line"], "left_anti"))
     long = flat.groupBy("token").agg(F.count("*").alias("c")).where(F.col("c") > NEAR + 1).select("token")
-    late = open_sets.select("doc", "line", F.col("size").alias("us"), F.posexplode("prefix").alias("ui", "token")).join(long, "token", "left_semi")
-    early = flat.join(long, "token", "left_semi").select("token", F.col("doc").alias("ydoc"), F.col("line").alias("yline"), F.col("size").alias("ys"), F.col("i").alias("yi"))
+    late = open_sets.select("doc", "line", F.col("size").alias("us"), F.col("bits").alias("ub"), F.posexplode("prefix").alias("ui", "token")).join(long, "token", "left_semi")
+    early = flat.join(long, "token", "left_semi").select("token", F.col("doc").alias("ydoc"), F.col("line").alias("yline"), F.col("size").alias("ys"), F.col("bits").alias("yb"), F.col("i").alias("yi"))
     before = (F.col("ydoc") < F.col("doc")) | ((F.col("ydoc") == F.col("doc")) & (F.col("yline") < F.col("line")))
-    pairs = cut(late.join(early, (late.token == early.token) & before & possible(F.col("us"), F.col("ui"), F.col("ys"), F.col("yi"))).select("doc", "line", "ydoc", "yline").distinct())
-    second = cut(verified(pairs, sets, docs))
+    pairs = cut(late.join(early, (late.token == early.token) & before & possible(F.col("us"), F.col("ui"), F.col("ub"), F.col("ys"), F.col("yi"), F.col("yb"))).select("doc", "line", "ydoc", "yline").distinct())
+    release(docs.sparkSession)
+    second = cut(verified(pairs, docs))
     release(docs.sparkSession)
     return sets.select("doc", "line"), first.unionByName(second).distinct()
 
