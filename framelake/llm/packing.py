@@ -65,6 +65,7 @@ class Encoder:
         self.ends = {k for word, k in vocab.items() if word[-1] in ".!?" or "Ċ" in word}
         self.space = re.compile(SPACE)
         self.odd = re.compile(r" (?=\s|\Z)")
+        self.line = re.compile(r"(?<=\S)\n(?=\S)")
 
     def size(self) -> int:
         return self.whole.get_vocab_size()
@@ -78,8 +79,8 @@ class Encoder:
                 got = packed(self.merge(full.encode()))
             elif len(w) > 1 and w[-1] in ".,!?" and w[:-1].isalpha():
                 got = self.word(w[:-1], spaced) + self.word(w[-1], False)
-            elif (at := w.find("\n")) > 0 and at < len(w) - 1 and not w[at - 1].isspace() and not w[at + 1].isspace():
-                return self.word(w[:at], spaced) + self.word("\n", False) + self.word(w[at + 1 :], False)
+            elif "\n" in w and len(lines := self.line.split(w)) > 1:
+                return self.word("\n", False).join([self.word(lines[0], spaced), *[self.word(x, False) for x in lines[1:]]])
             else:
                 got = packed(self.match(full))
             if len(table) < WORDS_KEPT and len(w) < 64:

@@ -139,6 +139,12 @@ def test_encoder_equals_tokenizer():
         assert np.frombuffer(e.encode(t), "<u4").tolist() == e.whole.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_encoder_takes_many_lines_without_spaces():
+    e = packing.Encoder(packing.vocabulary())
+    for t in ("\n".join(f"row{k},{k * 7}" for k in range(5000)), " " + "word\n" * 5000, "a\nb\n\nc\nd\r\ne.\nf " * 1500, "1\n\u00e9\n." * 3000):
+        assert np.frombuffer(e.encode(t), "<u4").tolist() == e.whole.encode(t, add_special_tokens=False).ids, repr(t[:20])
+
+
 def test_cuts_are_optimal():
     rng = np.random.RandomState(1)
     for _ in range(20):
