@@ -1,8 +1,9 @@
 """License scans: sentences that licences are known by, and ordered rules over the sequence of their identifiers.
 
-Text is split after sentence ends before white space. Lines of other matter may stand before a sentence: of its last lines the
-most that are known as a whole count, those before are looked up one by one. Sentences are lower-cased, everything but a-z and 0-9 becomes one space, and looked up. The identifiers of a document, in order, are matched
-by the rules in turn; what a rule matches is taken out before the next, so that a longer licence hides the shorter ones in it.
+Text is split after sentence ends before white space. Lines of other matter may stand before, between and after: any run of
+whole lines within a sentence may be known, and a list marker at the start of a line or sentence is not part of it. Sentences
+are lower-cased, everything but a-z and 0-9 becomes one space, and looked up. The SQL knows no list markers, and runs of lines
+only at the end of a sentence. The identifiers of a document, in order, are matched by the rules in turn; what a rule matches is taken out before the next, so that a longer licence hides the shorter ones in it.
 Documents without any of the words that every known sentence has one of are answered without splitting.
 All of it is built-in functions. Null and empty texts: no licence. Rows are answered one by one, other columns ignored.
 """
@@ -74,7 +75,9 @@ RULES = (
 #: Where sentences end: at a mark after two characters and before white space, and at a colon that ends a line.
 ENDS = r"""([^ \t\r\n][^ \t\r\n][.!?]["')]?)[ \t\r\n]+|(:)[ \t\r]*\n[ \t\r\n]*"""
 
-#: No known sentence has as many words, so none is spread over as many lines.
+#: List markers: 1., 2), (a), at the start of a line or sentence, after any other signs.
+ITEM = r"(^|[\n\x01])[^A-Za-z0-9\n\x01]*(?:[0-9]{1,3}|[A-Za-z]|[ivxIVX]{1,5})[.)]+[ \t]+"
+#: In the SQL: no known sentence has as many words, so none is spread over as many lines.
 LINES = 80
 
 
@@ -88,20 +91,14 @@ def pattern(rule: str) -> str:
 
 
 def identifiers(text: Column) -> Column:
-    """Identifiers of the known sentences of a text, in order."""
+    """Identifiers of the known sentences of a text, in order: the longest known run of whole lines at each line or sentence start."""
     known = F.create_map(*[F.lit(x) for k, s in SENTENCES.items() for x in (normal(s), k)])
-    look = lambda s: F.try_element_at(known, F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
-    cut = F.split(F.regexp_replace(text, ENDS, "$1$2\x01"), "\x01")
-
-    def found(s: Column) -> Column:
-        lines = F.split(s, "\n")
-        n = F.size(lines)
-        tails = F.transform(F.sequence(F.greatest(F.lit(0), n - LINES), n - 1), lambda i: F.struct(i.alias("i"), look(F.array_join(F.slice(lines, i + 1, n - i), " ")).alias("id")))
-        first = F.get(F.filter(tails, lambda t: t["id"].isNotNull()), F.lit(0))
-        return F.when(first.isNull(), F.transform(lines, look)).otherwise(F.concat(F.transform(F.slice(lines, F.lit(1), first["i"]), look), F.array(first["id"])))
-
-    each = F.transform(cut, found)
-    return F.filter(F.flatten(each), lambda x: x.isNotNull())
+    bare = F.regexp_replace(F.regexp_replace(text, ENDS, "$1$2\x01"), ITEM, "$1")
+    words = F.regexp_replace(F.lower(bare), "[^a-z0-9\n\x01]+", " ")
+    lines = F.trim(F.regexp_replace(F.regexp_replace(words, "[ \n]*\n[ \n]*", "\n"), "[ \n]*\x01[ \n]*", "\x01"))
+    runs = "|".join(normal(s).replace(" ", "[ \n]") for s in sorted(SENTENCES.values(), key=len, reverse=True))
+    found = F.regexp_extract_all(lines, F.lit(rf"(?:^|(?<=[\n\x01]))({runs})(?=[\n\x01]|$)"), F.lit(1))
+    return F.transform(found, lambda s: F.try_element_at(known, F.replace(s, F.lit("\n"), F.lit(" "))))
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -395,6 +395,25 @@ def test_licence_rules(spark):
     assert got == {1: ("MIT", ""), 2: ("BSD-3-Clause", ""), 3: ("", "bsd_source"), 4: ("Apache-2.0,CC-BY-NC-4.0", ""), 5: ("", ""), 6: ("", "")}
 
 
+def test_licences_canonical_texts(spark):
+    """Wrapped as published: numbered clauses, and a sentence without a full stop between two others."""
+    grant = "Copyright (c) 2024, X\nAll rights reserved.\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n"
+    clauses = [
+        "Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or other materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.",
+    ]
+    asis = "\nTHIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\"\nAND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE\nIMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE\nDISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER BE LIABLE FOR ANY DAMAGE.\n"
+    bsd = lambda n, mark, gap: grant + "".join(mark(k) + c + gap for k, c in enumerate(clauses[:n])) + asis
+    apache = 'Copyright 2024 X\n\nLicensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software\ndistributed under the License is distributed on an "AS IS" BASIS,\nWITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.\nSee the License for the specific language governing permissions and\nlimitations under the License.\n'
+    commented = "".join(f" * {x}\n" for x in apache.split("\n"))
+    rows = [(1, bsd(2, lambda k: f"{k + 1}. ", "\n\n")), (2, bsd(3, lambda k: f"{k + 1}. ", "\n")), (3, bsd(3, lambda k: f"  ({'abc'[k]}) ", "\n")), (4, bsd(2, lambda k: f"{k + 1}) ", "\n")), (5, bsd(3, lambda k: "* ", "\n")), (6, apache), (7, commented)]
+    got = {r.doc_id: (r.licenses, r.sentences, r.others) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    two, three = "bsd_grant,bsd_source,bsd_binary,bsd_asis", "bsd_grant,bsd_source,bsd_binary,bsd_names,bsd_asis"
+    whole = ("Apache-2.0", "apache_notice,apache_copy,apache_asis,apache_see")
+    assert {k: v[:2] for k, v in got.items()} == {1: ("BSD-2-Clause", two), 2: ("BSD-3-Clause", three), 3: ("BSD-3-Clause", three), 4: ("BSD-2-Clause", two), 5: ("BSD-3-Clause", three), 6: whole, 7: whole}
+
+
 def test_licences_odd_rows(spark, odd):
     assert license_scan.scan(odd).count() == odd.count() and license_scan.scan(odd.limit(0)).count() == 0
 
