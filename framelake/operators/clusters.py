@@ -13,8 +13,8 @@ def assign_online(rows: DataFrame, order: str = "vec_id", most_l1: int = 500, mo
     """(vec_id, l1, l2) as vectors arrive in order: each goes to the nearest cluster of level one, in it to the nearest of level
     two, or opens one where the similarity is below the threshold at that count; means follow.
 
-    Every step depends on the one before, so this is one task by its meaning and serves streams of bounded size; assign_batch
-    is the form for large tables.
+    Every step depends on the one before, so this is one task by its meaning; it holds the centroids and a batch of the sorted
+    rows at a time. assign_batch is the form for large tables.
     """
     import math
 
@@ -22,36 +22,59 @@ def assign_online(rows: DataFrame, order: str = "vec_id", most_l1: int = 500, mo
         import numpy as np
         import pandas as pd
 
-        l1, l2, of, n1, n2, out, count = [], [], [], [], [], [], 0
         unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=-1, keepdims=True), 1e-30)
-        rows = pd.concat(list(frames), ignore_index=True)
-        for vec_id, v in rows.sort_values(order, kind="stable")[["vec_id", "v"]].itertuples(index=False):
-            x = unit(np.asarray(v, np.float32)).astype(np.float32)
-            scale = math.log10(max(10, count) / 10)
-            t1, t2 = thresholds or (max(0.52, 0.72 - 0.04 * scale), max(0.68, 0.85 - 0.04 * scale))
-            scores = unit(np.stack(l1)) @ x if l1 else None
-            a = int(np.argmax(scores)) if l1 else -1
-            if a < 0 or (scores[a] < t1 and len(l1) < most_l1):
-                l1.append(x.copy())
-                n1.append(0)
-                of.append([])
-                a = len(l1) - 1
-            mine = of[a]
-            s2 = unit(np.stack([l2[i] for i in mine])) @ x if mine else None
-            b = int(np.argmax(s2)) if mine else -1
-            if b < 0 or (s2[b] < t2 and len(mine) < most_l2):
-                l2.append(x.copy())
-                n2.append(0)
-                mine.append(len(l2) - 1)
-                b = len(mine) - 1
-            c = mine[b]
-            l1[a], n1[a] = (l1[a] * n1[a] + x) / (n1[a] + 1), n1[a] + 1
-            l2[c], n2[c] = (l2[c] * n2[c] + x) / (n2[c] + 1), n2[c] + 1
-            count += 1
-            out.append((vec_id, a, c))
-        yield pd.DataFrame(out, columns=["vec_id", "l1", "l2"])
-
-    return rows.select("vec_id", "v").coalesce(1).mapInPandas(run, "vec_id long, l1 int, l2 int")
+
+        class Means:
+            """Centroids and their unit vectors, in room that grows by doubling."""
+
+            def __init__(self):
+                self.size, self.counts = 0, []
+
+            def add(self, x):
+                if not self.size:
+                    self.means = np.zeros((16, len(x)), np.float32)
+                    self.units = self.means.copy()
+                elif self.size == len(self.means):
+                    self.means, self.units = (np.concatenate([m, np.zeros_like(m)]) for m in (self.means, self.units))
+                self.counts.append(0)
+                self.size += 1
+                self.put(self.size - 1, x)
+                return self.size - 1
+
+            def put(self, k, mean):
+                self.means[k] = mean
+                self.units[k : k + 1] = unit(self.means[k : k + 1])
+
+            def move(self, k, x):
+                n = self.counts[k]
+                self.put(k, (self.means[k] * n + x) / (n + 1))
+                self.counts[k] = n + 1
+
+        l1, l2, of, count = Means(), Means(), [], 0
+        for f in frames:
+            out = []
+            for vec_id, v in zip(f["vec_id"], f["v"], strict=True):
+                x = unit(np.asarray(v, np.float32)).astype(np.float32)
+                scale = math.log10(max(10, count) / 10)
+                t1, t2 = thresholds or (max(0.52, 0.72 - 0.04 * scale), max(0.68, 0.85 - 0.04 * scale))
+                scores = l1.units[: l1.size] @ x if l1.size else None
+                a = int(np.argmax(scores)) if l1.size else -1
+                if a < 0 or (scores[a] < t1 and l1.size < most_l1):
+                    a = l1.add(x)
+                    of.append([])
+                mine = of[a]
+                s2 = l2.units[mine] @ x if mine else None
+                b = int(np.argmax(s2)) if mine else -1
+                if b < 0 or (s2[b] < t2 and len(mine) < most_l2):
+                    mine.append(l2.add(x))
+                    b = len(mine) - 1
+                l1.move(a, x)
+                l2.move(mine[b], x)
+                count += 1
+                out.append((vec_id, a, mine[b]))
+            yield pd.DataFrame(out, columns=["vec_id", "l1", "l2"])
+
+    return rows.select(*dict.fromkeys(["vec_id", "v", order])).coalesce(1).sortWithinPartitions(order).mapInPandas(run, "vec_id long, l1 int, l2 int")
 
 
 def assign_batch(rows: DataFrame, k1: int, k2: int, sample: int = 20_000) -> DataFrame:

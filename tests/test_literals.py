@@ -194,6 +194,41 @@ def test_online_clusters(spark):
     assert got == [(0, 0, 0), (1, 0, 0), (2, 1, 1), (3, 0, 2)]
 
 
+def test_online_clusters_of_a_whole_table(spark, tmp_path):
+    """Every vector gets its clusters, also those past the sf0.1 ids and in files out of order."""
+    import numpy as np
+
+    from framelake import plans
+
+    x = np.random.RandomState(5).randn(2300, 8).astype(np.float32)
+    rows = spark.createDataFrame([(i, x[i].tolist(), i % 3) for i in range(2299, -1, -1)], "vec_id long, embedding array<float>, label int")
+    rows.repartition(5).write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {r.vec_id: (r.l1, r.l2) for r in plans.queries()["ivf_assign"](spark, str(tmp_path)).collect()}
+    unit = lambda m: m / np.linalg.norm(m, axis=-1, keepdims=True)
+    l1, l2, of, n1, n2, want = [], [], [], [], [], {}
+    for i, v in enumerate(unit(x)):
+        s = np.log10(max(10, i) / 10)
+        near = unit(np.stack(l1)) @ v if l1 else [-2.0]
+        a = int(np.argmax(near))
+        if near[a] < max(0.52, 0.72 - 0.04 * s) and len(l1) < 500:
+            a = len(l1)
+            l1.append(v)
+            n1.append(0)
+            of.append([])
+        near = unit(np.stack([l2[k] for k in of[a]])) @ v if of[a] else [-2.0]
+        b = int(np.argmax(near))
+        if near[b] < max(0.68, 0.85 - 0.04 * s) and len(of[a]) < 20:
+            b = len(of[a])
+            of[a].append(len(l2))
+            l2.append(v)
+            n2.append(0)
+        c = of[a][b]
+        l1[a], n1[a] = (l1[a] * n1[a] + v) / (n1[a] + 1), n1[a] + 1
+        l2[c], n2[c] = (l2[c] * n2[c] + v) / (n2[c] + 1), n2[c] + 1
+        want[i] = (a, c)
+    assert got == want
+
+
 def test_diverse_neighbours(spark):
     item = lambda i, d, v: F.struct(F.lit(d).alias("d"), F.lit(i).alias("id"), F.array(*map(F.lit, v)).alias("v"))
     cands = F.array(item(1, 1.0, [1.0, 0.0]), item(2, 1.1, [1.1, 0.0]), item(3, 2.0, [0.0, 2.0]))
