@@ -187,7 +187,10 @@ def titles(texts: DataFrame, keys: list[str], n: int = 3) -> DataFrame:
 
 
 def optimal_scenes(shots: DataFrame, key: str, k: int) -> DataFrame:
-    """(key, scene, first, last): shots (key, shot, v) in k runs of least mean distance within, by dynamic programming a video."""
+    """(key, scene, first, last): shots (key, shot, v) in k runs of least mean distance within, by dynamic programming a video.
+
+    Runs are met by their ends, so a video of n shots takes memory for its vectors and k n sums, and time for n^2 distances.
+    """
 
     def run(f):
         import numpy as np
@@ -196,17 +199,17 @@ def optimal_scenes(shots: DataFrame, key: str, k: int) -> DataFrame:
         f = f.sort_values("shot")
         x = np.stack(f["v"].to_numpy())
         n, m = len(x), min(k, len(x))
-        dist = np.sqrt(np.maximum(0, ((x[:, None] - x[None]) ** 2).sum(2)))
-        ps = np.zeros((n + 1, n + 1))
-        ps[1:, 1:] = dist.cumsum(0).cumsum(1)
-        a = np.arange(n + 1)
-        block = ps[a[None], a[None]] - ps[a[:, None], a[None]] - ps[a[None], a[:, None]] + ps[a[:, None], a[:, None]]
-        cost = np.where(a[None] > a[:, None], block / np.maximum(1, (a[None] - a[:, None])), np.inf)
-        best, back = cost[0].copy(), np.zeros((m, n + 1), int)
-        for j in range(1, m):
-            total = best[:, None] + cost
-            back[j] = total.argmin(0)
-            best = total.min(0)
+        best, back = np.full((m, n + 1), np.inf), np.zeros((m, n + 1), int)
+        block = np.zeros(n)  # sums of the distances within the runs from each shot to the last one met
+        for e in range(1, n + 1):
+            dist = np.sqrt(((x[:e] - x[e - 1]) ** 2).sum(1))
+            block[:e] += 2 * dist[::-1].cumsum()[::-1]
+            cost = block[:e] / np.arange(e, 0, -1)
+            best[0, e] = cost[0]
+            for j in range(1, m):
+                total = best[j - 1, :e] + cost
+                back[j, e] = total.argmin()
+                best[j, e] = total[back[j, e]]
         cuts = [n]
         for j in range(m - 1, 0, -1):
             cuts.append(int(back[j][cuts[-1]]))

@@ -142,7 +142,7 @@ def zero_shot_prior(spark, d):
     names = t.select(F.col("s").alias("word")).union(t.select("o")).distinct()
     vec = lambda w: F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: (F.pmod(F.xxhash64(w, i), F.lit(1000)) / 1000.0))
     words = names.select("word", vec(F.col("word")).alias("v")).union(names.select(F.concat(F.lit("new "), "word"), vec(F.col("word"))))
-    asked = occ.where("l_orderkey < 200").select(F.concat(F.lit("new "), "key").alias("s"), F.concat(F.lit("new "), "object").alias("o"), F.col("predicate").alias("p")).distinct()
+    asked = occ.select(F.concat(F.lit("new "), "key").alias("s"), F.concat(F.lit("new "), "object").alias("o"), F.col("predicate").alias("p")).distinct()
     return prior.zero_shot(asked, prior.counts(t), words, 4).select("s", "o", "p", r("prior", 6).alias("prior"))
 
 

@@ -119,7 +119,7 @@ def chapters_build(spark, d):
 
 def shot_grouping(spark, d):
     """Runs of similar vectors of each label: dynamic programming in numpy, one label a task."""
-    s = c.sentence_vectors(spark, d).where("pos < 60").select("label", F.col("pos").alias("shot"), "v")
+    s = c.sentence_vectors(spark, d).select("label", F.col("pos").alias("shot"), "v")
     return seq.optimal_scenes(s, "label", 4)
 
 

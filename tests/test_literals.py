@@ -66,6 +66,35 @@ def test_scenes(spark):
     assert [(r.start_frame, r.end_frame) for r in sequences.scenes(df, "video", "clean").orderBy("index").collect()] == [(0, 50), (51, 120), (121, 130)]
 
 
+def test_shot_grouping_of_long_labels(spark, tmp_path):
+    """All shots of a label are grouped, and the runs cost as little as the best found by plain dynamic programming."""
+    import numpy as np
+
+    from framelake import plans
+
+    x = np.random.RandomState(2).randn(90, 4).astype(np.float32)
+    x[70:] += 3
+    spark.createDataFrame([(i, v.tolist(), 7) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = sorted((r.first, r.last) for r in plans.queries()["shot_grouping"](spark, str(tmp_path)).collect())
+    d = np.linalg.norm(x[:, None].astype(float) - x[None].astype(float), axis=2)
+    cost = lambda a, b: d[a:b, a:b].sum() / (b - a)
+    best = [0.0] + [np.inf] * 90
+    for _ in range(4):
+        best = [np.inf] + [min(best[a] + cost(a, b) for a in range(b)) for b in range(1, 91)]
+    assert [a for a, _ in got] == [0, *[b + 1 for _, b in got[:-1]]] and got[-1][1] == 89 and len(got) == 4
+    assert sum(cost(a, b + 1) for a, b in got) == pytest.approx(best[90])
+
+
+def test_zero_shot_prior_asks_all_triples(spark):
+    from framelake import plans
+    from framelake.sources import catalog
+
+    d = "/root/testdata/sf0.001"
+    want = {("new " + r.key, "new " + r.object, r.predicate) for r in catalog.occurrences(spark, d).select("key", "object", "predicate").distinct().collect()}
+    got = plans.queries()["zero_shot_prior"](spark, d).collect()
+    assert len(got) == len(want) and {(r.s, r.o, r.p) for r in got} == want
+
+
 def test_valleys_and_ranges(spark):
     x = [0.9, 0.8, 0.3, 0.8, 0.9, 0.85, 0.5, 0.9]
     df = spark.createDataFrame([("v", i, v) for i, v in enumerate(x)], "k string, pos int, smooth double")
