@@ -110,7 +110,7 @@ RANGES_SQL = c.sql(f"+{_R} SELECT label, CAST(range_id AS INTEGER) AS range_id,
 def chapters_build(spark, d):
     """Chapters: the documents of the vectors of a label as its sentences, cut at the valleys, with titles."""
     v, sizes = _valleys(spark, d)
-    docs = c.base(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), F.substring("text", 1, 200).alias("text"))
+    docs = c.base(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "text")
     chunks = c.sentence_vectors(spark, d).join(docs, "vec_id").select("label", "pos", "text", (F.col("pos") * 5.0).alias("start"), (F.col("pos") * 5.0 + 4.567).alias("end"))
     m = seq.merged_ranges(chunks, seq.ranges(v, sizes, "label"), "label")
     t = seq.titles(m, ["label", "range_id"])

@@ -95,6 +95,18 @@ def test_zero_shot_prior_asks_all_triples(spark):
     assert len(got) == len(want) and {(r.s, r.o, r.p) for r in got} == want
 
 
+def test_chapters_are_built_of_whole_texts(spark, tmp_path):
+    from framelake import plans
+
+    late = "ocean " * 60 + "whale " * 70 + "harbour " * 50
+    docs = [(i, "x " * 150 + late) for i in range(6)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, [1.0, i / 10], 3) for i in range(6)], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = plans.queries()["chapters_build"](spark, str(tmp_path)).collect()
+    assert sum(r.n for r in got) == sum(len(t) for _, t in docs) + len(docs) - len(got)
+    assert {r.title for r in got} == {"Whale Ocean Harbour"}
+
+
 def test_valleys_and_ranges(spark):
     x = [0.9, 0.8, 0.3, 0.8, 0.9, 0.85, 0.5, 0.9]
     df = spark.createDataFrame([("v", i, v) for i, v in enumerate(x)], "k string, pos int, smooth double")
