@@ -35,6 +35,23 @@ def test_tokens_and_bm25(spark):
     assert [r.idx for r in lexical.term_index(idf).orderBy("term").collect()] == list(range(len(got)))
 
 
+def test_lsa_keeps_documents_without_terms_of_the_basis(spark):
+    w = spark.createDataFrame([(0, "a", 1.0), (0, "b", 1.0), (1, "a", 2.0), (2, "rare", 0.1)], "doc_id long, term string, weight double")
+    basis, s = lexical.lsa_fit(w, 1, 2)
+    docs = spark.createDataFrame([(0,), (1,), (2,), (3,)], "doc_id long")
+    got = {r.doc_id: r.v for r in lexical.lsa_encode(w, basis, s, docs).collect()}
+    assert got[2] == got[3] == [0.0] and {abs(got[0][0]), abs(got[1][0])} == {1.0} and len(got) == 4
+
+
+def test_lsa_query_returns_every_document(spark, tmp_path):
+    from framelake import plans
+
+    rows = [(0, "green whale swims"), (1, "green harbour sleeps"), (2, "whale harbour"), (3, ""), (4, "the of and")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.norm for r in plans.queries()["lsa_encode"](spark, str(tmp_path)).collect()}
+    assert got == {0: 1.0, 1: 1.0, 2: 1.0, 3: 0.0, 4: 0.0}
+
+
 def test_scores(spark):
     f = lambda n: tuple(round(x, 2) for x in one(spark, *vectors.cluster_thresholds(F.lit(n))))
     assert [f(n) for n in (0, 10, 100, 1000, 100_000)] == [(0.72, 0.85), (0.72, 0.85), (0.68, 0.81), (0.64, 0.77), (0.56, 0.69)]
