@@ -36,18 +36,30 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def shared(spark: SparkSession) -> str:
-    """The folder that all machines share."""
+    """The folder that all machines share. Only a local master, as in tests, may go without one and gets a folder of this machine."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", "") or os.path.join(tempfile.gettempdir(), "checkpoints"))
+        folder = sc.getConf().get("spark.checkpoint.dir", "")
+        if not folder and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        sc.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "checkpoints"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder, read again."""
+def written(df: DataFrame, **options: str) -> DataFrame:
+    """df as a Parquet table in the shared folder, read again; dropped() removes it."""
     path = f"{shared(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    df.write.options(**options).parquet(path)
+    out = df.sparkSession.read.parquet(path)
+    out.written_to = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Remove tables that written() made, once nothing is to be read from them any more."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.written_to)
+        path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:

@@ -3,129 +3,240 @@
 A line is the set of its lower-cased words. It goes if a line before it, by (doc_id, line number), has Jaccard similarity of
 0.8 or more to it, whether that line itself stays or not; lines without words stay. The way there, in built-in functions only:
 
-1. Words are ordered by rarity: counts over all texts in BUCKETS hash buckets (a table of fixed size, so it travels as a
+1. Lines are split into words once; the 64-bit hashes of each line's distinct words are written as a dictionary-coded table, from
+   which all that follows is read. Sets are compared by these hashes.
+2. Words are ordered by rarity: counts over all lines in BUCKETS hash buckets (a table of fixed size, so it travels as a
    constant), in classes by logarithm, ties by the word's hash. That is one total order for all lines, which is all that
    prefix filtering needs to be exact.
-2. Lines with equal sets become one, at the earliest place.
-3. Two sets this similar share a word among the first size - ceil(0.8 size) + 1 in that order. Along each such word, ordered by
-   place, a set meets the first and the NEAR sets before it, if sizes, the positions of the word and 64 parity bits allow the
-   similarity: the bits that differ are at most the words that differ.
-4. What is left is verified on the words themselves.
-5. Sets not decided so far meet all before them in the lists that are longer than that, through the same filters. So groups of
-   thousands of variants of one line cost little more than their size, and no pair is lost.
+3. Lines with equal sets become one, at the earliest place.
+4. Two sets this similar share a word among the first size - ceil(0.8 size) + 1 in that order. Along each of its FEW first words,
+   among sets of about its size, a set meets the first and the NEAR before it. This settles most variants of one line.
+5. Sets not decided so far meet all before them that share a word of the prefix, if sizes, the positions of the word and 128 parity
+   bits allow the similarity: the bits that differ are at most the words that differ. One shuffle serves both sides.
+   Where a word's list is far longer than others, its rows are keyed by the word and each next word of the prefix, since similar
+   sets that differ share two words there; so a word that a third of all lines have is not one list.
+6. Pairs are verified on whole sets, after either step.
 
 Null text stays null. Null doc_id comes last. Where a doc_id repeats, a line number stays if the line at it stays in any of the
-rows; rows at the same place leave one another alone. A document whose lines all go stays, with an empty text.
+rows; rows at the same place leave one another alone. A document whose lines all go stays, with an empty text. Columns n_lines,
+n_removed and text of the input are replaced, others are kept.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from framelake.llm.common import cut, release, sieve, table
+from framelake.llm.common import cut, dropped, release, sieve, table, written
 
-BUCKETS, NEAR, LAST = 1 << 16, 4, (1 << 63) - 1
-def pieces(body: Column) -> Column:
-    """Lower-cased words, with empty strings where there is more than one space."""
-    return F.split(F.regexp_replace(F.lower(body), r"[\x09-\x0D]", " "), " ", -1)
+BUCKETS, FEW, NEAR, LAST = 1 << 16, 2, 2, (1 << 63) - 1
+#: A word is far more frequent in prefixes than others if its bucket holds this many rows, and this many times the mean.
+FULL, HOT_ROWS, HOT_TIMES, SALTS = 1 << 16, 4096, 16, 64
+#: Lines' white space but for the space itself and the newline.
+CONTROLS = ("\t", "\x0b", "\x0c", "\r")
+MASK = (1 << 56) - 1
+#: More than the lines of any text, for a place as one number.
+PLACES = 1 << 31
 
 
-def words(body: Column) -> Column:
-    return F.array_remove(pieces(body), "")
+def shift_left(x: Column, n: Column | int) -> Column:
+    return F.call_function("shiftleft", x, n if isinstance(n, Column) else F.lit(n))
 
 
-def rarity(docs: DataFrame) -> Column:
-    """A constant array: the class of each hash bucket of words, 0 to 127, rare first. The driver gets BUCKETS counts at most."""
-    flat = docs.select(F.explode(pieces(F.col("text"))).alias("w"))
-    classes = [0] * BUCKETS
-    for bucket, n in flat.groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).alias("bucket")).count().collect():
-        classes[bucket] = min(127, int(4 * math.log2(n + 1)))
-    return F.from_json(F.lit("[" + ",".join(str(c << 56) for c in classes) + "]"), "array<bigint>")
+def hashed_lines(docs: DataFrame) -> DataFrame:
+    """(doc, line, w) of each line with words: its number, and the hashes of its distinct words."""
+    odd = reduce(Column.__or__, [F.contains("text", F.lit(c)) for c in CONTROLS])
+    plain = F.when(odd, F.regexp_replace("text", r"[\x09\x0B-\x0D]", " ")).otherwise(F.col("text"))
+    lines = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.posexplode(F.split(plain, "\n", -1)).alias("line", "body")).where(F.trim("body") != "")
+    w = F.array_except(F.transform(F.split(F.lower("body"), " ", -1), lambda x: F.xxhash64(x)), F.array(F.xxhash64(F.lit(""))))
+    return lines.select("doc", "line", w.alias("w"))
 
 
-def ordered(line: Column, classes: Column) -> Column:
-    """The distinct words of a line as longs, rarest first: class, then 56 bits of the word's hash."""
-    h = F.array_remove(F.array_distinct(F.transform(pieces(line), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
-    return F.sort_array(F.transform(h, lambda x: F.element_at(classes, (F.pmod(x, F.lit(BUCKETS)) + 1).cast("int")).bitwiseOR(x.bitwiseAND(F.lit((1 << 56) - 1)))))
+def parity(words: Column) -> Column:
+    """64 bits: which remainders occur an odd number of times."""
+    return F.aggregate(words, F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(shift_left(F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.posexplode(F.split("text", "\n", -1)).alias("line", "body"))
+def bucket(x: Column, n: int = BUCKETS) -> Column:
+    return x.bitwiseAND(F.lit(n - 1)).cast("int")
 
 
-def distinct_sets(docs: DataFrame) -> DataFrame:
-    """(doc, line, size, prefix, bits) of each distinct set, at its earliest place."""
-    # A condition on the set itself would be worked out below the set a second time.
-    rows = lines_of(docs).where(F.rlike("body", F.lit(r"[^\x20\x09-\x0D]"))).select("doc", "line", ordered(F.col("body"), rarity(docs)).alias("t"))
-    bits = F.aggregate("t", F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
-    size = F.size("t")
-    # The prefix only finds candidates, so 32 bits of a word are enough in it.
-    prefix = F.transform(F.slice("t", F.lit(1), size - F.floor((4 * size + 4) / 5).cast("int") + 1), lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF)).cast("long") - F.lit(1 << 31))
-    rows = rows.select("doc", "line", size.alias("size"), F.xxhash64("t").alias("h1"), F.hash("t").alias("h2"), prefix.cast("array<int>").alias("prefix"), bits.alias("bits"))
-    one = rows.groupBy("h1", "h2", "size").agg(F.min(F.struct("doc", "line", "prefix", "bits")).alias("r"))
-    return one.select("r.doc", "r.line", "size", "r.prefix", "r.bits")
+def rarity(lines: DataFrame) -> tuple[Callable[[Column], Column], int]:
+    """The class of a word's hash, 1 to 126, rare first, and the class that halves the words; the driver gets BUCKETS counts at most."""
+    import numpy as np
 
+    n = np.zeros(BUCKETS)
+    found = lines.select(F.explode("w").alias("x")).groupBy(bucket(F.col("x")).alias("k")).count().toArrow()
+    n[found["k"].to_numpy()] = found["count"].to_numpy()
+    classes = np.minimum(126, 1 + 4 * np.log2(n + 1)).astype(np.uint8)
+    per = np.bincount(classes, n, 128).cumsum()
+    known = F.lit(classes.tobytes())
+    return lambda x: F.ascii(F.substring(known, bucket(x) + 1, F.lit(1)).cast("string")).cast("long"), int(np.searchsorted(per, per[-1] / 2))
 
-def possible(us: Column, ui: Column, ub: Column, ys: Column, yi: Column, yb: Column) -> Column:
-    """Sizes, the positions of a shared word, and parity bits that allow Jaccard 0.8."""
-    need = F.floor((4 * (us + ys) + 8) / 9)
-    return (5 * ys >= 4 * us) & (5 * us >= 4 * ys) & (F.least(us - ui, ys - yi) >= need) & (us + ys - F.bit_count(ub.bitwiseXOR(yb)) >= 2 * need)
 
+def distinct_sets(lines: DataFrame) -> DataFrame:
+    """(doc, line, size, prefix, rare, usual) of each distinct set, at its earliest place.
 
-def verified(both: DataFrame, docs: DataFrame) -> DataFrame:
-    """(doc, line) of the later sets of the pairs (doc, line, ydoc, yline) that are similar."""
-    used = both.select(F.explode(F.array(F.struct("doc", "line"), F.struct(F.col("ydoc").alias("doc"), F.col("yline").alias("line")))).alias("x")).select("x.*").distinct()
+    rare and usual are parity bits of its rarer and its more usual words; the prefix has one word more than the join needs.
+    """
+    class_of, half = rarity(lines)
+    # Stands between the rarer and the more usual words; a word of that class whose hash ends in 56 zero bits would do no harm but there.
+    middle = F.lit((half + 1) << 56)
+    words = F.transform("w", lambda x: shift_left(class_of(x), 56).bitwiseOR(x.bitwiseAND(F.lit(MASK))))
+    rows = lines.select("doc", "line", F.sort_array(F.array_append(words, middle)).alias("s"))
+    rows = rows.select("doc", "line", "s", F.array_position("s", middle).cast("int").alias("k"), (F.size("s") - 1).alias("size"))
+    # Slices are columns that are used twice, so that they stay out of the interpreted functions over them.
+    rows = rows.select("doc", "line", "s", "size", F.slice("s", F.lit(1), F.col("k") - 1).alias("a"), F.slice("s", F.col("k") + 1, F.col("size")).alias("b"), F.slice("s", F.lit(1), first_words(F.col("size")) + 2).alias("c"))
+    bits = lambda part: F.when(F.size(part) > 0, parity(F.col(part))).otherwise(0)
+    # The prefix only finds candidates, so 31 bits of a word are enough in it.
+    prefix = F.when(F.size("c") > 0, F.transform(F.slice(F.array_remove("c", middle), F.lit(1), first_words(F.col("size")) + 1), lambda x: x.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")))
+    # Places as one number each, and all else as keys, so that the aggregation hashes and need not sort.
+    place = F.col("doc").cast("decimal(20,0)") * F.lit(PLACES) + F.col("line")
+    rows = rows.select(F.xxhash64("s").alias("h"), F.col("size").cast("long").alias("size"), prefix.alias("prefix"), bits("a").alias("rare"), bits("b").alias("usual"), place.cast("decimal(38,0)").alias("place"))
+    one = rows.groupBy("h", "size", "prefix", "rare", "usual").agg(F.min("place").alias("place"))
+    line = F.pmod("place", F.lit(PLACES))
+    return one.select(((F.col("place") - line) / F.lit(PLACES)).cast("long").alias("doc"), line.cast("int").alias("line"), "size", "prefix", "rare", "usual")
+
+
+def first_words(size: Column) -> Column:
+    return (size - F.floor((4 * size + 4) / 5) + 1).cast("int")
+
+
+def possible(u: str, y: str) -> Column:
+    """Sizes, the positions of a shared word, and parity bits that allow Jaccard 0.8, or 9 * overlap >= 4 * (sum of sizes)."""
+    c = lambda side, name: F.col(f"{side}{name}")
+    us, ys = c(u, "size"), F.abs(c(y, "size"))
+    apart = sum(F.bit_count(c(u, b).bitwiseXOR(c(y, b))) for b in ("rare", "usual"))
+    return (5 * us >= 4 * ys) & (5 * ys >= 4 * us) & (9 * F.least(us - c(u, "i"), ys - c(y, "i")) >= 4 * (us + ys)) & (us + ys >= 9 * apart)
+
+
+def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """(doc, line, bits) of the later sets of the pairs (doc, line, bits, ydoc, yline, ybits) that are similar."""
+    used = pairs.select(F.explode(F.array(F.struct("doc", "line", "bits"), F.struct(F.col("ydoc").alias("doc"), F.col("yline").alias("line"), F.col("ybits").alias("bits")))).alias("x")).select("x.*").distinct()
     known = sieve(used, "doc", "line")
-    full = lines_of(docs).where(known(F.col("doc"), F.col("line"))).join(used, ["doc", "line"], "left_semi")
-    # Bodies travel; arrays of words would be several times their size.
-    both = both.join(full, ["doc", "line"]).join(full.select(F.col("doc").alias("ydoc"), F.col("line").alias("yline"), F.col("body").alias("ybody")), ["ydoc", "yline"])
-    both = both.select("doc", "line", F.array_distinct(words(F.col("body"))).alias("wu"), F.array_distinct(words(F.col("ybody"))).alias("wy"))
-    return both.where(9 * F.size(F.array_intersect("wu", "wy")) >= 4 * (F.size("wu") + F.size("wy"))).select("doc", "line").distinct()
-
-
-def matched(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The distinct sets (doc, line) of docs, and those of them that an earlier set is similar to."""
-    sets = cut(distinct_sets(docs))
-    flat = sets.select("doc", "line", "size", "bits", F.posexplode("prefix").alias("i", "token"))
-    order = Window.partitionBy("token").orderBy("doc", "line")
-    row = F.struct("doc", "line", "size", "i", "bits")
-    ranked = flat.withColumn("n", F.row_number().over(order))
-    before = ranked.withColumn("near", F.array(*[F.lag(row, k).over(order) for k in range(1, NEAR + 1)], F.first(row).over(order.rowsBetween(Window.unboundedPreceding, 0))))
-    before = before.where("n > 1").select("doc", "line", "size", "i", "bits", "n", F.posexplode("near").alias("k", "y")).where(f"k < n - 1 or k = {NEAR} and n > {NEAR} + 1")
-    met = possible(F.col("size"), F.col("i"), F.col("bits"), F.col("y.size"), F.col("y.i"), F.col("y.bits")) & ((F.col("y.doc") < F.col("doc")) | (F.col("y.line") < F.col("line")))
-    pairs = cut(before.where(met).select("doc", "line", F.col("y.doc").alias("ydoc"), F.col("y.line").alias("yline")).distinct())
-    release(docs.sparkSession)
-    first = cut(verified(pairs, docs))
-    release(docs.sparkSession)
-    # In lists that go on, what is undecided meets all that stand before. What the sieve lets through is undecided for certain.
-    held = sieve(first, "doc", "line")(F.col("doc"), F.col("line"))
-    open_sets = sets.where(~held).unionByName(sets.where(held).join(first, ["doc", "line"], "left_anti"))
-    long = flat.groupBy("token").agg(F.count("*").alias("c")).where(F.col("c") > NEAR + 1).select("token")
-    late = open_sets.select("doc", "line", F.col("size").alias("us"), F.col("bits").alias("ub"), F.posexplode("prefix").alias("ui", "token")).join(long, "token", "left_semi")
-    early = flat.join(long, "token", "left_semi").select("token", F.col("doc").alias("ydoc"), F.col("line").alias("yline"), F.col("size").alias("ys"), F.col("bits").alias("yb"), F.col("i").alias("yi"))
-    before = (F.col("ydoc") < F.col("doc")) | ((F.col("ydoc") == F.col("doc")) & (F.col("yline") < F.col("line")))
-    pairs = cut(late.join(early, (late.token == early.token) & before & possible(F.col("us"), F.col("ui"), F.col("ub"), F.col("ys"), F.col("yi"), F.col("yb"))).select("doc", "line", "ydoc", "yline").distinct())
-    release(docs.sparkSession)
-    second = cut(verified(pairs, docs))
-    release(docs.sparkSession)
-    return sets.select("doc", "line"), first.unionByName(second).distinct()
+    # Where a doc_id repeats, the bits tell the lines at one place apart.
+    full = lines.where(known(F.col("doc"), F.col("line"))).withColumn("bits", parity(F.col("w"))).join(used, ["doc", "line", "bits"], "left_semi")
+    both = pairs.join(full, ["doc", "line", "bits"]).join(full.select(F.col("doc").alias("ydoc"), F.col("line").alias("yline"), F.col("bits").alias("ybits"), F.col("w").alias("yw")), ["ydoc", "yline", "ybits"])
+    return both.where(9 * F.size(F.array_intersect("w", "yw")) >= 4 * (F.size("w") + F.size("yw"))).select("doc", "line", "bits").distinct()
+
+
+def hot_words(flat: DataFrame) -> Callable[[Column], Column] | None:
+    """A condition that holds for words of buckets far fuller than others, or None if there are none."""
+    counts = dict(flat.groupBy(bucket(F.col("word"), FULL).alias("k")).count().collect())
+    least = max(HOT_ROWS, HOT_TIMES * sum(counts.values()) / FULL)
+    words = [0] * (FULL // 64)
+    for k, n in counts.items():
+        if n >= least:
+            words[k // 64] |= 1 << k % 64
+    if not any(words):
+        return None
+    full = F.from_json(F.lit("[" + ",".join(str(x - (1 << 64) if x >> 63 else x) for x in words) + "]"), "array<bigint>")
+    shift_right = lambda x, n: F.call_function("shiftright", x, n)
+    return lambda x: shift_right(F.get(full, shift_right(bucket(x, FULL), F.lit(6))), bucket(x, FULL).bitwiseAND(F.lit(63))).bitwiseAND(F.lit(1)) == 1
+
+
+def before(x: str, y: str) -> Column:
+    """Whether the place of y comes before that of x."""
+    c = lambda side, name: F.col(f"{side}{name}")
+    return (c(y, "doc") < c(x, "doc")) | ((c(y, "doc") == c(x, "doc")) & (c(y, "line") < c(x, "line")))
+
+
+def pair(x: str, y: str) -> list[Column]:
+    bits = lambda s: F.col(f"{s}rare").bitwiseXOR(F.col(f"{s}usual"))
+    return [F.col(f"{x}doc").alias("doc"), F.col(f"{x}line").alias("line"), bits(x).alias("bits"), F.col(f"{y}doc").alias("ydoc"), F.col(f"{y}line").alias("yline"), bits(y).alias("ybits")]
+
+
+def words_of(sets: DataFrame, count: Column, *more: str) -> DataFrame:
+    """The first words of sets, and their positions."""
+    return sets.select("doc", "line", "size", "rare", "usual", *more, F.posexplode(F.slice("prefix", F.lit(1), count)).alias("i", "word"))
+
+
+def near_pairs(sets: DataFrame, hot) -> DataFrame:
+    """Each set with the first and the last few before it, among those of about its size, along its first words."""
+    few = words_of(sets, F.least(F.lit(FEW), first_words(F.col("size"))))
+    salt = F.when(hot(F.col("word")), F.pmod(F.xxhash64("doc", "line"), F.lit(SALTS))).otherwise(0) if hot else F.lit(0)
+    order = Window.partitionBy("word", F.floor(F.log(F.col("size")) / math.log(1.25)), salt).orderBy("doc", "line")
+    row = F.struct("doc", "line", "size", "i", "rare", "usual")
+    ys = F.array(*[F.lag(row, k).over(order) for k in range(1, NEAR + 1)], F.first(row).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    seen = few.withColumn("ys", ys).withColumn("y", F.explode("ys"))
+    return seen.where(possible("", "y.") & before("", "y.")).select(*pair("", "y.")).distinct()
+
+
+def band(size: Column) -> Column:
+    """The band of a size: any order-preserving function will do, if sizes a quarter apart are in the same band or in neighbours."""
+    return F.floor(F.log(2.5, size)).cast("int")
+
+
+def all_pairs(sets: DataFrame, hot) -> DataFrame:
+    """Undecided sets with all before them that the filters allow; decided ones come with their size negated.
+
+    Rows meet by word and band of size; a set that may be similar to larger ones of the next band is in that one, too, with the
+    words that it can share first with such ones.
+    """
+    size = F.abs("size")
+    rows = sets.select("*", band(size).alias("own"), F.explode(F.sequence(band(size), band(F.floor(5 * size / 4)))).alias("band"))
+    # The least size of a band, rounded down.
+    edge = F.floor(F.pow(F.lit(2.5), "band") - 0.01)
+    count = F.when(F.col("band") == F.col("own"), first_words(size)).otherwise(F.least(first_words(size), (F.floor((5 * size - 4 * edge) / 9) + 1).cast("int")))
+    rows = words_of(rows.withColumn("count", count).where("count > 0"), F.col("count"), "band", "prefix")
+    kept = ["doc", "line", "size", "i", "rare", "usual"]
+    # One number as the key, since the sort of a join then needs no look at the rows.
+    keyed = (rows.where(~hot(F.col("word"))) if hot else rows).select((F.col("word").cast("long") * 256 + F.col("band")).alias("key"), *kept)
+    if hot:
+        then = rows.where(hot(F.col("word"))).select("word", "band", F.explode(F.slice("prefix", F.col("i") + 2, F.size("prefix"))).alias("next"), *kept)
+        keyed = keyed.unionByName(then.select(F.xxhash64("word", "band", "next").alias("key"), *kept))
+    both = keyed.alias("u").join(keyed.alias("y"), (F.col("u.key") == F.col("y.key")) & possible("u.", "y.") & before("u.", "y."))
+    return both.select(*pair("u.", "y.")).distinct()
+
+
+def staying(docs: DataFrame) -> DataFrame:
+    """(doc, stay): the numbers of the lines with words that stay, for each doc_id that has any."""
+    spark = docs.sparkSession
+    lines = written(hashed_lines(docs), **{"parquet.dictionary.page.size": str(16 << 20)})
+    sets = written(distinct_sets(lines))
+    release(spark)
+    longer = sets.where("size > 3")  # of fewer words, only equal sets are similar
+    hot = hot_words(words_of(longer, first_words(F.col("size"))))
+    pairs = cut(near_pairs(longer, hot))
+    release(spark)
+    first = cut(verified(pairs, lines))
+    dropped(lines)
+    release(spark)
+    # What the sieve lets through is undecided for certain.
+    place = ["doc", "line", "bits"]
+    known = sets.withColumn("bits", F.col("rare").bitwiseXOR(F.col("usual")))
+    longer, held = known.where("size > 3"), sieve(first, *place)(*map(F.col, place))
+    gone = longer.where(held).join(first.withColumn("gone", F.lit(True)), place, "left")
+    pairs = cut(all_pairs(longer.where(~held).unionByName(gone.withColumn("size", F.when(F.col("gone"), -F.col("size")).otherwise(F.col("size"))).drop("gone")), hot))
+    release(spark)
+    # Few lines: from their texts, as the table would add to the disk in use.
+    asked = sieve(pairs.select(F.explode(F.array("doc", "ydoc")).alias("doc")), "doc")
+    second = cut(verified(pairs, hashed_lines(docs.where(asked(F.coalesce("doc_id", F.lit(LAST)))))))
+    left = known.select(*place).join(first.unionByName(second), place, "left_anti")
+    stay = written(left.groupBy("doc").agg(F.collect_set("line").alias("stay")))
+    dropped(sets)
+    release(spark)
+    return stay
 
 
 def deduped(docs: DataFrame) -> DataFrame:
     """docs (with doc_id and text) with their later matching lines taken out; n_lines and n_removed are added."""
-    sets, gone = matched(docs.select("doc_id", "text"))
-    stay = sets.join(gone, ["doc", "line"], "left_anti").groupBy("doc").agg(F.collect_list("line").alias("_stay"))
-    rows = docs.withColumn("_doc", F.coalesce("doc_id", F.lit(LAST))).join(stay.withColumnRenamed("doc", "_doc"), "_doc", "left")
-    lines = F.split("text", "\n", -1)
-    blank = F.filter(F.transform(lines, lambda x, i: F.when(F.rlike(x, F.lit(r"[^\x20\x09-\x0D]")), F.lit(-1)).otherwise(i)), lambda i: i >= 0)
-    at = F.sort_array(F.array_union(F.coalesce("_stay", F.array().cast("array<int>")), blank))
-    rows = rows.withColumn("_lines", lines).withColumn("_at", F.filter(at, lambda i: i < F.size("_lines")))
-    out = F.when(F.col("text").isNotNull(), F.array_join(F.transform("_at", lambda i: F.get("_lines", i)), "\n"))
-    n = F.when(F.col("text").isNotNull(), F.size("_lines")).otherwise(0)
-    return rows.select(*[F.col(c) for c in docs.columns if c != "text"], out.alias("text"), n.alias("n_lines"), (n - F.when(F.col("text").isNotNull(), F.size("_at")).otherwise(0)).alias("n_removed"))
+    names = [c for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
+    rows = docs.select(F.struct(*[F.col(c) for c in [*names, "text"]]).alias("row"), F.coalesce("doc_id", F.lit(LAST)).alias("doc"))
+    rows = rows.join(staying(docs.select("doc_id", "text")).hint("shuffle_hash"), "doc", "left").withColumn("lines", F.split("row.text", "\n", -1))
+    blank = F.filter(F.transform("lines", lambda x, i: F.when(F.rlike(x, F.lit(r"[^\x20\x09-\x0D]")), F.lit(-1)).otherwise(i)), lambda i: i >= 0)
+    at = F.filter(F.sort_array(F.array_union(F.coalesce("stay", F.array().cast("array<int>")), blank)), lambda i: i < F.size("lines"))
+    # Where as many lines with words stay as there are lines, none goes; a repeated doc_id may have more of them than this row.
+    whole = F.size(F.coalesce("stay", F.array().cast("array<int>"))) == F.size("lines")
+    rows = rows.withColumn("kept", F.when(F.col("row.text").isNotNull() & ~whole, at))
+    out = F.when(F.col("kept").isNull(), F.col("row.text")).otherwise(F.array_join(F.transform("kept", lambda i: F.get("lines", i)), "\n"))
+    n = F.when(F.col("row.text").isNotNull(), F.size("lines")).otherwise(0)
+    removed = F.when(F.col("kept").isNull(), 0).otherwise(n - F.size("kept"))
+    return rows.select(*[F.col("row").getField(c).alias(c) for c in names], out.alias("text"), n.alias("n_lines"), removed.alias("n_removed"))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,6 +245,6 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """documents with deduplicated texts; n_chars, where there is one, follows the text."""
-    rows = deduped(docs)
+    rows = deduped(docs.drop("n_lines", "n_removed"))
     names = [F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     return rows.select(*names)
