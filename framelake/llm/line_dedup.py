@@ -9,8 +9,8 @@ A line is the set of its lower-cased words. It goes if a line before it, by (doc
    constant), in classes by logarithm, ties by the word's hash. That is one total order for all lines, which is all that
    prefix filtering needs to be exact.
 3. Lines with equal sets become one, at the earliest place.
-4. Two sets this similar share a word among the first size - ceil(0.8 size) + 1 in that order. Along each of its FEW first words,
-   among sets of about its size, a set meets the first and the NEAR before it. This settles most variants of one line.
+4. Two sets this similar share a word among the first size - ceil(0.8 size) + 1 in that order. Along each of FEW of
+   these words, among sets of about its size, a set meets the first and the NEAR before it. This settles most variants of one line.
 5. Sets not decided so far meet all before them that share a word of the prefix, if sizes, the positions of the word and 128 parity
    bits allow the similarity: the bits that differ are at most the words that differ. One shuffle serves both sides.
    Where a word's list is far longer than others, its rows are keyed by the word and each next word of the prefix, since similar
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from framelake.llm.common import cut, dropped, release, sieve, table, written
 
-BUCKETS, FEW, NEAR, LAST = 1 << 16, 2, 2, (1 << 63) - 1
+BUCKETS, FEW, NEAR, LAST = 1 << 18, 3, 3, (1 << 63) - 1
 #: A word is far more frequent in prefixes than others if its bucket holds this many rows, and this many times the mean.
 FULL, HOT_ROWS, HOT_TIMES, SALTS = 1 << 16, 4096, 16, 64
 #: Lines' white space but for the space itself and the newline.
@@ -156,8 +156,10 @@ def words_of(sets: DataFrame, count: Column, *more: str) -> DataFrame:
 
 
 def near_pairs(sets: DataFrame, hot) -> DataFrame:
-    """Each set with the first and the last few before it, among those of about its size, along its first words."""
-    few = words_of(sets, F.least(F.lit(FEW), first_words(F.col("size"))))
+    """Each set with the first and the last few before it, among those of about its size, along some words of its prefix."""
+    # Those with the least hashes, as the rarest may be a variant's own. Positions do not count here.
+    some = F.slice(F.sort_array(F.slice("prefix", F.lit(1), first_words(F.col("size")))), 1, FEW)
+    few = sets.select("doc", "line", "size", "rare", "usual", F.lit(0).alias("i"), F.explode(some).alias("word"))
     salt = F.when(hot(F.col("word")), F.pmod(F.xxhash64("doc", "line"), F.lit(SALTS))).otherwise(0) if hot else F.lit(0)
     order = Window.partitionBy("word", F.floor(F.log(F.col("size")) / math.log(1.25)), salt).orderBy("doc", "line")
     row = F.struct("doc", "line", "size", "i", "rare", "usual")
