@@ -3,9 +3,11 @@
 A document's set holds the 64-bit hashes of its distinct shingles of words. Documents with equal sets are one class, found by
 a hash of the sorted set. Of each class one document goes on: BANDS bands of ROWS MinHash values give bucket keys, and an odd sketch (the parity
 of how many MinHash samples fall on each of BITS places) goes with them. In a bucket, documents are first paired with the
-bucket's earliest only - in EARLY bands, then in the others as far as that leaves something open -, then with those that are not
-yet in one component with them; a pair is a candidate, in the first band it meets in, if the XOR population count of the two sketches allows the similarity, with a margin of several deviations. Each
-candidate is confirmed on full sets. Components are the result, so pairs within a component are not needed, whatever its size.
+bucket's earliest only - in EARLY bands, then in the others as far as that leaves different components -; a pair is a candidate
+if the XOR population count of the two sketches allows the similarity, with a margin of several deviations, and is confirmed on
+full sets. Then documents of a bucket that are not in one component meet in the bucket's own task: sketches tell which of them
+have a possible partner, these come again with their texts, and sets are compared there by products of blocks, so that pairs that
+fail never become rows, and links no more than join what is apart. Components are the result, so pairs within one are not needed.
 
 Words are runs of characters other than space and the five ASCII controls after backspace, A-Z lowered. Fewer words than a
 shingle has: the whole sequence is the one element. No words, or null: empty set, linked with nothing. A doc_id that repeats is one document, linked if any of its texts
@@ -16,7 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelake.llm.common import WORD, components, cut, grouped, release, sieve, table
@@ -24,8 +26,10 @@ from framelake.llm.common import WORD, components, cut, grouped, release, sieve,
 ROWS, BANDS, BITS, SAMPLES = 4, 24, 1024, 192
 #: Sketches may understate a similarity by this much before a pair is given up: five deviations of the estimate and more.
 MARGIN = 0.16
-#: Rows of a bucket compared at once, and words hashed at once.
-BLOCK, CHUNK, SHARE = 512, 1 << 16, 2000
+#: Documents of a bucket compared at once, and words hashed at once.
+BLOCK, CHUNK = 512, 1 << 16
+#: Documents and shingles of a share of a bucket.
+SHARE, LOAD = 2000, 4_000_000
 #: Bands of the first round, which settles most copies before the others are looked at.
 EARLY = 4
 
@@ -176,32 +180,96 @@ def confirmed(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFr
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(run, "a long, b long").distinct()
 
 
-def in_bucket(key: int, frame, limit: float, percent: int, block: int = BLOCK):
-    """Pairs of different components in one bucket, or in two shares of it, that sketches allow and that meet in no earlier band."""
+def apart(frame):
+    """Of the documents of one bucket, or of two shares of it: which pairs are to be compared here, block by block.
+
+    Yields (i, j, mask): positions of a block of rows and one of columns, and the pairs of different components whose sizes allow
+    a link and that meet in no earlier band. In one share each pair comes once.
+    """
     import numpy as np
-    import pandas as pd
 
-    ids, comp, sizes, side = (frame[c].to_numpy() for c in ("doc", "comp", "n", "side"))
+    comp, side, key = (frame[c].to_numpy() for c in ("comp", "side", "key"))
     keys = np.stack(frame["keys"].to_numpy()).astype(np.int64)
-    band = int(np.argmax(keys[0] == key))
-    bits = np.unpackbits(np.stack(frame["sketch"].to_numpy()).astype(np.int64).view(np.uint8), axis=1).astype(np.float32)
-    ones = bits.sum(1)
-    out = []
+    band = int(np.argmax(keys[0] == key[0]))
     one, two = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-    for i in range(0, len(one), block):
-        for j in range(0, len(two), block):
-            u, v = one[i : i + block], two[j : j + block]
-            apart = ones[u, None] + ones[None, v] - 2 * (bits[u] @ bits[v].T)
-            x, y = sizes[u, None], sizes[None, v]
-            ok = (apart <= limit) & (comp[u, None] != comp[None, v]) & (100 * np.minimum(x, y) >= percent * np.maximum(x, y))
-            p, q = np.nonzero(ok)
-            p, q = u[p], v[q]
-            keep = ~(keys[p, :band] == keys[q, :band]).any(1)
+    for i in range(0, len(one), BLOCK):
+        for j in range(0, len(two), BLOCK):
+            u, v = one[i : i + BLOCK], two[j : j + BLOCK]
+            mask = comp[u, None] != comp[None, v]
+            for k in range(band):
+                mask &= keys[u, k][:, None] != keys[v, k][None]
             if side[0] == 2:
-                keep &= ids[p] > ids[q]
-            p, q = p[keep], q[keep]
-            out.append(pd.DataFrame({"a": np.maximum(ids[p], ids[q]), "b": np.minimum(ids[p], ids[q])}))
-    return pd.concat(out, ignore_index=True) if out else None
+                mask &= u[:, None] > v[None]
+            if mask.any():
+                yield u, v, mask
+
+
+def close_by(frame, limit: float, percent: int):
+    """The documents that sketches allow to be linked with another of their bucket."""
+    import numpy as np
+
+    sizes = frame["n"].to_numpy()
+    bits = np.unpackbits(np.stack(frame["sketch"].to_numpy()).astype(np.int64).view(np.uint8), axis=1).astype(np.float32)
+    ones, found = bits.sum(1), np.zeros(len(frame), bool)
+    for u, v, mask in apart(frame):
+        mask &= ones[u, None] + ones[None, v] - 2 * (bits[u] @ bits[v].T) <= limit
+        mask &= 100 * np.minimum(sizes[u, None], sizes[None, v]) >= percent * np.maximum(sizes[u, None], sizes[None, v])
+        found[u[mask.any(1)]] = True
+        found[v[mask.any(0)]] = True
+    return frame.loc[found, ["key", "x", "y", "doc"]]
+
+
+def linked(frame, n: int, percent: int):
+    """Links between documents of one bucket, confirmed on full sets, no more than join what is apart. Pairs never become rows."""
+    import numpy as np
+    import pandas as pd
+
+    codes, unique = pd.factorize(frame["text"])
+    sets = shingled(list(unique), n)
+    sizes = np.array([len(s) for s in sets])
+    # Only shingles of two texts or more can be common; each gets a number.
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    _, number, count = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = count[number] > 1
+    numbers = np.cumsum(count > 1) - 1
+    number, owner = numbers[number[shared]], owner[shared]
+    order = np.argsort(number, kind="stable")
+    number, owner = number[order], owner[order]
+    total = int(number[-1]) + 1 if len(number) else 0
+
+    def common(p, q):
+        out, step = np.zeros((len(p), len(q)), np.float32), 4096
+        place_p, place_q = np.full(len(sets), -1), np.full(len(sets), -1)
+        place_p[p], place_q[q] = np.arange(len(p)), np.arange(len(q))
+        for lo in range(0, total, step):
+            a, b = np.searchsorted(number, [lo, lo + step])
+            x, y = np.zeros((len(p), step), np.float32), np.zeros((len(q), step), np.float32)
+            for m, place in ((x, place_p), (y, place_q)):
+                at = place[owner[a:b]]
+                m[at[at >= 0], number[a:b][at >= 0] - lo] = 1
+            out += x @ y.T
+        return out
+
+    parent, doc = {}, frame["doc"].to_numpy()
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    comp, out = frame["comp"].to_numpy(), []
+    for u, v, mask in apart(frame):
+        p, up = np.unique(codes[u], return_inverse=True)
+        q, vq = np.unique(codes[v], return_inverse=True)
+        both = common(p, q)[up][:, vq].astype(np.int64)
+        x, y = sizes[codes[u]][:, None], sizes[codes[v]][None]
+        for i, j in zip(*np.nonzero(mask & (100 * both >= percent * (x + y - both))), strict=True):
+            a, b = root(comp[u[i]]), root(comp[v[j]])
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                out.append((doc[u[i]], doc[v[j]]))
+    return pd.DataFrame(out, columns=["a", "b"]) if out else None
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -218,31 +286,37 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
 
     def star(low: int, high: int) -> DataFrame:
         """Each document with the earliest of its bucket, for a range of bands."""
-        flat = reps.select("id", "n", F.explode(F.slice("keys", low + 1, high - low)).alias("key"))
-        w = Window.partitionBy("key").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        rows = flat.withColumn("hub", F.first(F.struct("id", "n")).over(w)).where("id > hub.id").where(100 * F.least("n", "hub.n") >= percent * F.greatest("n", "hub.n"))
-        return rows.select(F.col("id").alias("a"), F.col("hub.id").alias("b")).distinct()
+        flat = reps.select("id", F.explode(F.slice("keys", low + 1, high - low)).alias("key"))
+        return flat.join(flat.groupBy("key").agg(F.min("id").alias("b")), "key").where("id > b").select(F.col("id").alias("a"), "b").distinct()
 
     def close(pairs: DataFrame) -> DataFrame:
-        side = lambda x: reps.select(F.col("id").alias(x), F.col("sketch").alias(f"s{x}"))
-        apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-        return cut(pairs.join(side("a"), "a").join(side("b"), "b").where(apart <= limit).select("a", "b").distinct())
+        side = lambda x: reps.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+        differ = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+        return cut(pairs.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).where(differ <= limit).select("a", "b").distinct())
 
     links = cut(confirmed(close(star(0, EARLY)), docs, n, percent))
-    comp = components(links)
-    # The other bands, without the pairs whose earlier document is already known to be reachable.
-    known = comp.select(F.col("id").alias("a"), F.col("component").alias("b"))
-    links = links.unionByName(cut(confirmed(close(star(EARLY, BANDS).join(known, ["a", "b"], "left_anti")), docs, n, percent)))
+    comp = cut(components(links))
+    # The other bands, without the pairs that are known to be in one component.
+    named = lambda x: comp.select(F.col("id").alias(x), F.col("component").alias(f"c{x}"))
+    later = star(EARLY, BANDS).join(named("a"), "a", "left").join(named("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    links = links.unionByName(cut(confirmed(close(later), docs, n, percent)))
     release(spark)
-    comp = components(links)
-    # Pairs in a bucket that are in different components as yet; a large bucket is cut into shares, of which two meet at a time.
-    named = reps.join(comp, "id", "left").select("id", F.coalesce("component", "id").alias("comp"), F.explode("keys").alias("key"))
-    several = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).where("lo <> hi").select("key", F.ceil(F.col("c") / SHARE).cast("int").alias("shares"))
-    placed = named.join(several, "key").withColumn("share", F.pmod(F.xxhash64("id", "key"), F.col("shares")).cast("int"))
+    comp = cut(components(links))
+    # What shares a bucket and is in different components as yet; a large bucket is cut into shares, of which two meet at a time.
+    placed = reps.join(comp, "id", "left").select("id", "n", F.coalesce("component", "id").alias("comp"), F.explode("keys").alias("key"))
+    several = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c"), F.sum("n").alias("s")).where("lo <> hi").select("key", F.ceil(F.greatest(F.col("c") / SHARE, F.col("s") / LOAD)).cast("int").alias("shares"))
+    placed = placed.join(several, "key").withColumn("share", F.pmod(F.xxhash64("id", "key"), F.col("shares")).cast("int"))
     others = F.transform(F.sequence(F.lit(0), F.col("shares") - 1), lambda o: F.struct(F.least(o, F.col("share")).alias("x"), F.greatest(o, F.col("share")).alias("y"), F.when(o == F.col("share"), 2).when(o > F.col("share"), 0).otherwise(1).alias("side")))
-    work = placed.select("key", "id", "comp", F.explode(others).alias("s")).select("key", "id", "comp", "s.x", "s.y", "s.side").join(reps, "id").withColumnRenamed("id", "doc")
-    more = cut(grouped(work, ["key", "x", "y"], ["doc"], lambda key, f: in_bucket(key[0], f, limit, percent), "a long, b long").distinct())
-    more = cut(confirmed(more, docs, n, percent))
+    work = placed.select("key", "id", "comp", F.explode(others).alias("s")).select("key", "comp", "s.x", "s.y", "s.side", "id")
+    work = cut(work.join(reps, "id").withColumnRenamed("id", "doc"))
+    groups = ["key", "x", "y"]
+    near = cut(grouped(work, groups, ["doc"], lambda key, f: close_by(f, limit, percent), "key long, x int, y int, doc long"))
+    release(spark)
+    # Where the sketches allow a link, the bucket's task gets the texts of those documents and tells by their sets.
+    held = sieve(near, "doc")
+    texts = docs.where(held(F.col("doc_id"))).select(F.col("doc_id").alias("doc"), "text")
+    ready = work.drop("sketch").join(near, [*groups, "doc"], "left_semi").join(texts, "doc")
+    more = cut(grouped(ready, groups, ["doc"], lambda key, f: linked(f, n, percent), "a long, b long"))
     release(spark)
     comp = components(links.unionByName(more).unionByName(same))
     sizes = info.groupBy("doc_id").agg(F.max("n").alias("n_shingles"))
