@@ -1,8 +1,8 @@
 """Packing: order-preserving dynamic programming over window cuts.
 
 Documents keep the order of their input partition, which is one stream of tokens. A window of n tokens wastes LIMIT - n tokens
-of padding, or none where n is a power of two; a cut at a document's end costs nothing more, at a sentence's end a little,
-elsewhere (places every STRIDE tokens only) more. cost[j] = min over the LIMIT tokens before j of cost[i] + waste(i, j) + cut(j);
+of padding, or none where n is a power of two; a cut at a document's end costs nothing more, at a sentence's end a little; there
+are no others, but for places every STRIDE tokens in a sentence that is longer than a window, which cost more. cost[j] = min over the LIMIT tokens before j of cost[i] + waste(i, j) + cut(j);
 as waste grows by one a token, cost[i] + place[i] in a monotone queue gives the best i in constant time, and the few powers of
 two are looked up. Streams are cut into stretches of bounded size, whose last window goes on into the next, so memory does not
 grow with documents or partitions, and nothing is shuffled. A lost task is run again on the same split and gives the same rows.
@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from framelake.llm.common import kept, table
 
 LIMIT, STRIDE, STRETCH, WORDS_KEPT = 1024, 64, 1 << 17, 600_000
+#: Powers of two below the limit that are left unpadded, down to 64 tokens; shorter windows would be too many.
+HALVINGS = 4
 #: In tokens: what a window, a cut at a sentence's end and a cut elsewhere cost beside the padding.
 WINDOW, SENTENCE, INNER = 16, 2, 12
 SCHEMA = "d string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -62,7 +64,7 @@ class Encoder:
         self.special = [s for s in special if s]
         self.after: dict[str, bytes] = {}  # words after a space
         self.first: dict[str, bytes] = {}  # words after no space
-        self.ends = {k for word, k in vocab.items() if word[-1] in ".!?" or "Ċ" in word}
+        self.ends = {k for word, k in vocab.items() if word.rstrip("\"')]}")[-1:] in (".", "!", "?") or "Ċ" in word}
         self.space = re.compile(SPACE)
         self.odd = re.compile(r" (?=\s|\Z)")
         self.line = re.compile(r"(?<=\S)\n(?=\S)")
@@ -105,15 +107,18 @@ def packed(ids: list[int]) -> bytes:
     return array("I", ids).tobytes()
 
 
-def cuts(places, costs, limit: int = LIMIT) -> list[int]:
-    """Indexes of the chosen places, first and last included. places: numpy, rising by limit at most; costs: of cutting at each."""
+def cuts(places, costs, limit: int = LIMIT, halvings: int = 2) -> list[int]:
+    """Indexes of the chosen places, first and last included. places: numpy, rising by limit at most; costs: of cutting at each.
+
+    Windows of limit / 2, and so on for so many halvings, need no padding.
+    """
     import numpy as np
 
     n = len(places)
     best, back = [0.0] * n, [0] * n
     before = []
-    for power in (limit // 2, limit // 4):  # windows of these sizes need no padding; shorter ones cost too many windows
-        if power & (power - 1) == 0:
+    for power in (limit >> s for s in range(1, halvings + 1)):  # windows of these sizes need no padding
+        if power and power & (power - 1) == 0:
             k = np.searchsorted(places, places - power)
             before.append(np.where(places[k] == places - power, k, -1).tolist())
     place, cost = places.tolist(), (costs + WINDOW).tolist()
@@ -149,11 +154,14 @@ def candidates(ids, ends, documents, limit: int = LIMIT):
 
     n = len(ids)
     cost = np.full(n + 1, np.inf)
-    cost[::STRIDE] = INNER
     cost[np.flatnonzero(ends[ids]) + 1] = SENTENCE
     cost[documents] = 0
     cost[0] = cost[n] = 0
     places = np.flatnonzero(np.isfinite(cost))
+    # Only a sentence longer than a window is cut within.
+    for k in np.flatnonzero(np.diff(places) > limit):
+        cost[places[k] + STRIDE : places[k + 1] : STRIDE] = INNER
+    places = np.flatnonzero(np.isfinite(cost))
     return places, cost[places]
 
 
@@ -178,7 +186,7 @@ def pieces(stream: Iterator[tuple[object, bytes]], ends, first: int, limit: int
         ids = np.frombuffer(bytes(buffer), "<u4")
         stops = np.array([a + n for _, a, n in docs])
         places, costs = candidates(ids, ends, stops, limit)
-        chosen = places[cuts(places, costs, limit)].tolist()
+        chosen = places[cuts(places, costs, limit, HALVINGS)].tolist()
         if not done and len(chosen) > 2:
             chosen.pop()  # the last window goes on
         end = chosen[-1]
