@@ -158,6 +158,28 @@ def test_cuts_are_optimal():
         assert sum(waste(places[a], places[b]) + costs[b] for a, b in itertools.pairwise(c)) == best[-1]
 
 
+def test_cuts_are_at_document_and_sentence_ends():
+    rng = np.random.RandomState(8)
+    ends = np.zeros(101, bool)
+    ends[100] = True
+    docs = []
+    for k in range(200):  # the last document is one sentence of five windows
+        ids = rng.randint(1, 100, rng.randint(1, 900) if k < 199 else 5000)
+        if k < 199:
+            ids[rng.rand(len(ids)) < 0.05] = 100
+        docs.append((k, np.append(ids, 0).astype("<u4")))
+    rows = [r for part in packing.pieces(((d, x.tobytes()) for d, x in docs), ends, 0, stretch=20_000) for r in part]
+    last, inner, waste, total = {}, 0, 0, 0
+    for d, start, length, _, n, seq, offset in rows:
+        last[seq] = (d, start + length, n, offset + length)
+    for d, end, n, size in last.values():
+        inner += end != n and docs[d][1][end - 1] != 100
+        assert d == 199 or end == n or docs[d][1][end - 1] == 100
+        waste += 0 if size & (size - 1) == 0 else 1024 - size
+        total += size
+    assert 4 <= inner <= 6 and waste / total < 0.02
+
+
 # --- 3 lines ---
 
 
@@ -268,6 +290,19 @@ def test_secret_checksums():
     assert secret_scan.spans("eyJhbGciOiJIUzI1NiJ9.e30.sig")[0][0] == "jwt" and not secret_scan.spans("eyJub25l.e30.sig")
 
 
+def test_hostile_texts_are_scanned_in_linear_time():
+    import base64
+    import time
+
+    deep = base64.urlsafe_b64encode(b'{"a":' + b"[" * 100_000).decode().rstrip("=")
+    assert deep.startswith("eyJ") and secret_scan.spans(f"{deep}.e30.sig") == []
+    begun = time.process_time()
+    assert secret_scan.spans("eyJ" * 200_000) == [] and secret_scan.spans("eyJ" * 100_000 + ".") == []
+    good = "eyJhbGciOiJIUzI1NiJ9.e30.sig"
+    assert [s[0] for s in secret_scan.spans("eyJ" * 50_000 + " " + good)] == ["jwt"]
+    assert time.process_time() - begun < 3
+
+
 def test_secrets_odd_rows(spark, odd):
     rows = secret_scan.digest(odd).collect()
     empty = hashlib.sha256(b"").hexdigest()
