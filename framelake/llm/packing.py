@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from framelake.llm.common import kept, table
 
-LIMIT, STRIDE, STRETCH, WORDS_KEPT = 1024, 64, 1 << 17, 600_000
+LIMIT, STRIDE, STRETCH, WORDS_KEPT = 1024, 64, 1 << 17, 150_000
 #: Powers of two below the limit that are left unpadded, down to 64 tokens; shorter windows would be too many.
 HALVINGS = 4
 #: In tokens: what a window, a cut at a sentence's end and a cut elsewhere cost beside the padding.
