@@ -7,7 +7,8 @@ a count. In a bucket of one label, blocks of vectors are multiplied in double pr
 theirs is passed over, so every linked pair is counted once, and only counts and a spanning forest of each block leave the task.
 
 Vectors that are null, zero or hold null or non-finite components, and rows with null labels, link with nothing; they are in the result.
-Repeated vec_ids: their rows are taken together, links count other ids. Null vec_id: no part. Vectors of different lengths do not link.
+Of the rows of a repeated vec_id one takes part, of the least label (as text), then of the least vector. Null vec_id: no part.
+Vectors of different lengths do not link.
 """
 
 from __future__ import annotations
@@ -143,8 +144,9 @@ def near_vectors(rows: DataFrame, least: float = 0.93, tables: int = TABLES) ->
     """(vec_id, n_links, component_id, kept), a row for each vec_id of rows (vec_id, embedding, label)."""
     rows = rows.where("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), F.col("label").cast("string").alias("label"))
     good = F.col("label").isNotNull() & F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0), F.lit(False))
-    sound = cut(rows.where(good).select("vec_id", "label", "v", F.xxhash64("label", "v").alias("h1"), F.hash("v", "label").alias("h2")).distinct())
-    same = sound.groupBy("h1", "h2").agg(F.min(F.struct("vec_id", "label", "v")).alias("r"), F.count_distinct("vec_id").alias("weight"))
+    one = rows.where(good).groupBy("vec_id").agg(F.min(F.struct("label", "v")).alias("r")).select("vec_id", "r.label", "r.v")
+    sound = cut(one.select("vec_id", "label", "v", F.xxhash64("label", "v").alias("h1"), F.hash("v", "label").alias("h2")))
+    same = sound.groupBy("h1", "h2").agg(F.min(F.struct("vec_id", "label", "v")).alias("r"), F.count("*").alias("weight"))
     reps = cut(same.select(F.col("r.vec_id").alias("id"), "r.label", "r.v", "weight", "h1", "h2"))
     parts = parts_for(reps.count())
 
