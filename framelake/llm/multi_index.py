@@ -8,7 +8,8 @@ size. Lists of nearby pairs are cut into shares of at most SHARE rows, queries i
 vector loads no task more than another; of equal vectors a share needs k + 1, the smallest ids.
 
 Vectors that are null, zero or hold null or non-finite components take no part, nor do those whose length is not that of the
-first sound vec_id, nor null ids. Rows that share a query's vec_id are not its neighbours. Ties go to the smaller vec_id.
+first sound vec_id, nor null ids. Of the rows of a repeated vec_id the least vector takes part, as query and as candidate, so an
+id has one rank. Ties go to the smaller vec_id.
 """
 
 from __future__ import annotations
@@ -109,7 +110,7 @@ def search(rows: DataFrame, queries, k: int = 20, visit: float = VISIT, fit: int
     if first is None:
         return rows.sparkSession.createDataFrame([], schema)
     d = first[0]
-    rows = rows.where(F.size("v") == d)
+    rows = rows.where(F.size("v") == d).groupBy("vec_id").agg(F.min("v").alias("v"))
     import numpy as np
 
     sample = np.stack(rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(fit).select("v").toPandas()["v"].to_numpy())
