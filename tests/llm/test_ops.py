@@ -250,6 +250,17 @@ def test_multi_index_odd_rows(spark):
     assert multi_index.search(vectors(spark, []), "vec_id % 20 = 0").count() == 0
 
 
+def test_multi_index_repeated_ids(spark):
+    rng = np.random.RandomState(9)
+    x = rng.randn(40, 8)
+    rows = [(k, v.tolist(), 1) for k, v in enumerate(x)]
+    once = multi_index.search(vectors(spark, rows), "vec_id % 20 = 0", k=5).collect()
+    again = multi_index.search(vectors(spark, rows * 3), "vec_id % 20 = 0", k=5).collect()
+    assert sorted(map(tuple, once)) == sorted(map(tuple, again)) and len({(r.query_id, r.rank) for r in again}) == len({(r.query_id, r.vec_id) for r in again}) == 10
+    other = [(20, [9.0] * 8, 1), (33, [9.0] * 8, 1)]  # not the least vectors of their ids, as 9 is above all first components
+    assert sorted(map(tuple, multi_index.search(vectors(spark, rows + other), "vec_id % 20 = 0", k=5).collect())) == sorted(map(tuple, once))
+
+
 def test_heap_walks_pairs_in_order():
     rng = np.random.RandomState(0)
     a, b, n = rng.rand(6), rng.rand(7), rng.randint(0, 5, (6, 7))
@@ -477,6 +488,25 @@ def test_vectors_against_brute_force(spark):
     assert vector_dedup.near_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_with_repeated_ids(spark):
+    at = lambda a: [float(np.cos(a)), float(np.sin(a)), 0.0, 0.0]
+    got = lambda rows: {r.vec_id: (r.n_links, r.component_id) for r in vector_dedup.near_vectors(vectors(spark, rows)).collect()}
+    assert got([(1, at(0), 0), (1, at(0.05), 0), (1, at(0.05), 0), (2, at(0.1), 0), (3, at(0), 0)]) == {1: (2, 1), 2: (2, 1), 3: (2, 1)}
+    assert got([(1, at(0.5), 0), (1, at(0), 1), (2, at(0), 0), (3, at(0), 1)]) == {1: (0, 1), 2: (0, 2), 3: (0, 3)}
+
+
+def test_vectors_recall_on_embeddings(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    e = rows.toPandas().sort_values("vec_id")
+    x = np.stack(e.embedding).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    lab = e.label.to_numpy()
+    close = (x @ x.T >= 0.93) & (lab[:, None] == lab[None]) & ~np.eye(len(x), dtype=bool)
+    got = {r.vec_id: r.n_links for r in vector_dedup.near_vectors(rows).collect()}
+    found = sum(got.values())
+    assert found <= close.sum() and found >= 0.99 * close.sum() and all(got[i] <= n for i, n in zip(e.vec_id, close.sum(1), strict=True))
+
+
 def test_rotation_is_orthogonal():
     x = np.random.RandomState(0).randn(50, 64)
     y = vector_dedup.rotated(x, 3)
