@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import os
 import sys
@@ -63,8 +65,13 @@ def dropped(*tables: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Ask the driver's JVM to collect garbage now: only then Spark removes shuffle files that nothing refers to any more."""
+    """Ask the driver's JVM to collect garbage now: only then Spark removes shuffle files that nothing refers to any more.
+
+    What Python has freed goes back to the machine, where the C library can do that.
+    """
     gc.collect()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
     spark.sparkContext._jvm.System.gc()
 
 

@@ -163,6 +163,8 @@ def train(labelled: DataFrame, fit: int = FIT) -> dict:
     w, bias = descend(train_rows, np.where(inside > 0, 1.0, -1.0), r, cost[~out])
     kept_rows, kept_y = ([x for x, o in zip(rows, out, strict=True) if o], y[out]) if out.any() else (train_rows, inside)
     a, b = calibrated(margins(kept_rows, w, bias, r), kept_y)
+    del sample, rows, train_rows, kept_rows, counts, n
+    release(labelled.sparkSession)
     return {"w": w.astype(np.float32), "r": r.astype(np.float32), "bias": bias, "a": a, "b": b}
 
 
