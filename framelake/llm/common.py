@@ -75,20 +75,26 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def constant(rows: DataFrame, n: int) -> Column:
+    """An array of n numbers, x at each k of rows (k int, x long; each k once) and 0 elsewhere, as a scalar subquery over a written row."""
+    zeros = rows.sparkSession.range(n).select(F.col("id").cast("int").alias("k"), F.lit(0).cast("long").alias("x"))
+    all_ = rows.unionByName(zeros).groupBy("k").agg(F.sum("x").alias("x")).agg(F.sort_array(F.collect_list(F.struct("k", F.coalesce("x", F.lit(0).cast("long")).alias("x")))).alias("all"))
+    return cut(all_.select(F.transform("all", lambda y: y["x"]).alias("x"))).scalar()
+
+
 SIEVE = 1 << 22
 
 
 def sieve(rows: DataFrame, *keys: str) -> Callable[..., Column]:
     """A condition that holds for every key of rows and for few others, while rows are fewer than its SIEVE bits.
 
-    It goes before a shuffled semi-join, which decides; the bits are a constant of fixed size, built from as many sums at most.
+    It goes before a shuffled semi-join, which decides. The bits are one row of fixed size, which stays in the shared folder: as a
+    literal it would stand in the text of every plan, and the driver keeps those.
     """
     place = lambda cols: F.pmod(F.xxhash64(*cols), F.lit(SIEVE))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("_p") % 64).cast("int"))
-    words = [0] * (SIEVE // 64)
-    for at, bits in rows.select(place([F.col(k) for k in keys]).alias("_p")).groupBy((F.col("_p") / 64).cast("int").alias("w")).agg(F.bit_or(bit)).collect():
-        words[at] = bits
-    table = F.from_json(F.lit("[" + ",".join(map(str, words)) + "]"), "array<bigint>")
+    found = rows.select(place([F.col(k) for k in keys]).alias("_p")).groupBy((F.col("_p") / 64).cast("int").alias("k")).agg(F.bit_or(bit).alias("x"))
+    table = constant(found, SIEVE // 64)
 
     def held(*cols: Column) -> Column:
         p = place(cols)

@@ -5,8 +5,7 @@ A line is the set of its lower-cased words. It goes if a line before it, by (doc
 
 1. Lines are split into words once; the 64-bit hashes of each line's distinct words are written as a dictionary-coded table, from
    which all that follows is read. Sets are compared by these hashes.
-2. Words are ordered by rarity: counts over all lines in BUCKETS hash buckets (a table of fixed size, so it travels as a
-   constant), in classes by logarithm, ties by the word's hash. That is one total order for all lines, which is all that
+2. Words are ordered by rarity: counts over all lines in BUCKETS hash buckets (a table of fixed size, written as one row), in classes by logarithm, ties by the word's hash. That is one total order for all lines, which is all that
    prefix filtering needs to be exact.
 3. Lines with equal sets become one, at the earliest place.
 4. Two sets this similar share a word among the first size - ceil(0.8 size) + 1 in that order. Along each of FEW of
@@ -27,11 +26,12 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 from functools import reduce
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from framelake.llm.common import cut, dropped, release, sieve, table, written
+from framelake.llm.common import constant, cut, dropped, release, sieve, table, written
 
 BUCKETS, FEW, NEAR, LAST = 1 << 18, 3, 3, (1 << 63) - 1
 #: A word is far more frequent in prefixes than others if its bucket holds this many rows, and this many times the mean.
@@ -65,17 +65,14 @@ def bucket(x: Column, n: int = BUCKETS) -> Column:
     return x.bitwiseAND(F.lit(n - 1)).cast("int")
 
 
-def rarity(lines: DataFrame) -> tuple[Callable[[Column], Column], int]:
-    """The class of a word's hash, 1 to 126, rare first, and the class that halves the words; the driver gets BUCKETS counts at most."""
-    import numpy as np
-
-    n = np.zeros(BUCKETS)
-    found = lines.select(F.explode("w").alias("x")).groupBy(bucket(F.col("x")).alias("k")).count().toArrow()
-    n[found["k"].to_numpy()] = found["count"].to_numpy()
-    classes = np.minimum(126, 1 + 4 * np.log2(n + 1)).astype(np.uint8)
-    per = np.bincount(classes, n, 128).cumsum()
-    known = F.lit(classes.tobytes())
-    return lambda x: F.ascii(F.substring(known, bucket(x) + 1, F.lit(1)).cast("string")).cast("long"), int(np.searchsorted(per, per[-1] / 2))
+def rarity(lines: DataFrame) -> tuple[Column, int]:
+    """By bucket of a word's hash its class, 1 to 126, rare first, in the highest byte; and the class that halves the words."""
+    counts = lines.select(F.explode("w").alias("x")).groupBy(bucket(F.col("x")).alias("k")).count()
+    classes = cut(counts.select("k", "count", F.least(F.lit(126), (1 + 4 * F.log2(F.col("count") + 1)).cast("int")).cast("long").alias("class")))
+    per = sorted(classes.groupBy("class").agg(F.sum("count")).collect())
+    sums = list(accumulate(n for _, n in per))
+    half = next((c for (c, _), n in zip(per, sums, strict=True) if 2 * n >= sums[-1]), 0)
+    return constant(classes.select("k", shift_left(F.col("class"), 56).alias("x")), BUCKETS), half
 
 
 def distinct_sets(lines: DataFrame) -> DataFrame:
@@ -83,11 +80,12 @@ def distinct_sets(lines: DataFrame) -> DataFrame:
 
     rare and usual are parity bits of its rarer and its more usual words; the prefix has one word more than the join needs.
     """
-    class_of, half = rarity(lines)
+    known, half = rarity(lines)
     # Stands between the rarer and the more usual words; a word of that class whose hash ends in 56 zero bits would do no harm but there.
     middle = F.lit((half + 1) << 56)
-    words = F.transform("w", lambda x: shift_left(class_of(x), 56).bitwiseOR(x.bitwiseAND(F.lit(MASK))))
-    rows = lines.select("doc", "line", F.sort_array(F.array_append(words, middle)).alias("s"))
+    # A subquery may not stand in a lambda as written, so it is a column that only the lambda uses; the optimizer puts it there.
+    words = F.transform("w", lambda x: F.get("known", bucket(x)).bitwiseOR(x.bitwiseAND(F.lit(MASK))))
+    rows = lines.withColumn("known", known).select("doc", "line", F.sort_array(F.array_append(words, middle)).alias("s"))
     rows = rows.select("doc", "line", "s", F.array_position("s", middle).cast("int").alias("k"), (F.size("s") - 1).alias("size"))
     # Slices are columns that are used twice, so that they stay out of the interpreted functions over them.
     rows = rows.select("doc", "line", "s", "size", F.slice("s", F.lit(1), F.col("k") - 1).alias("a"), F.slice("s", F.col("k") + 1, F.col("size")).alias("b"), F.slice("s", F.lit(1), first_words(F.col("size")) + 2).alias("c"))
