@@ -31,12 +31,12 @@ def ivf_assign_batch(spark, d):
 
 
 def ivf_probe_search(spark, d):
-    q = _vectors(spark, d).where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    q = _vectors(spark, d).where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
     return clusters.probe(q, _by_label(spark, d), 5)
 
 
 _L = "l AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label AS l1, label * 2 + vec_id % 2 AS l2 FROM embeddings), f AS (SELECT vec_id, l1, l2, unnest(v) AS e, generate_subscripts(v, 1) AS i FROM l)"
-_Q = "qv AS (SELECT vec_id AS query_id, v AS q FROM l WHERE vec_id < 10)"
+_Q = "qv AS (SELECT vec_id AS query_id, v AS q FROM l WHERE vec_id % 50 = 0)"
 PROBE_SQL = f"""WITH {_L}, {_Q}, c1 AS (SELECT l1, list(m ORDER BY i) AS c FROM (SELECT l1, i, avg(e) AS m FROM f GROUP BY ALL) GROUP BY l1), c2 AS (SELECT l1, l2, list(m ORDER BY i) AS c FROM (SELECT l1, l2, i, avg(e) AS m FROM f GROUP BY ALL) GROUP BY l1, l2),
 z AS (SELECT ceil(sqrt(count(DISTINCT l1))) AS p1, greatest(1, least(floor(count(*) / count(DISTINCT l1)), ceil(sqrt(count(*) / count(DISTINCT l1))))) AS p2 FROM c2),
 n1 AS (SELECT query_id, q, l1 FROM (SELECT query_id, q, l1, row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(q, c), 6) DESC, l1) AS r FROM qv, c1), z WHERE r <= p1),
@@ -80,15 +80,13 @@ SETS_SQL = c.sql(f"+{_G} SELECT * FROM ct", "occ")
 
 
 def prior_backoff_score(spark, d):
-    """Priors of all seen subjects with all predicates and objects, from the counts of one hundredth of the triples."""
-    t = c.occurrences(spark, d)
-    few = t.where("l_orderkey % 100 = 1").select(F.col("key").alias("s"), F.col("predicate").alias("p"), F.col("object").alias("o"))
-    asked = _triples(spark, d).distinct()
-    return prior.backoff(asked, prior.counts(few), 4).select("s", "o", "p", r("prior", 6).alias("prior"))
+    """Priors of the seen triples, each also asked with its subject and object changed over, from the counts of all triples."""
+    t = _triples(spark, d)
+    asked = t.unionByName(t.select(F.col("o").alias("s"), "p", F.col("s").alias("o"))).distinct()
+    return prior.backoff(asked, prior.counts(t), 4).select("s", "o", "p", r("prior", 6).alias("prior"))
 
 
-_FEW = _G.replace("FROM occ)", "FROM occ WHERE l_orderkey % 100 = 1)")
-BACKOFF_SQL = c.sql(f"""+{_FEW}, ask AS (SELECT DISTINCT key AS s, predicate AS p, object AS o FROM occ),
+BACKOFF_SQL = c.sql(f"""+{_G}, ask AS (SELECT s, p, o FROM tr UNION SELECT o, p, s FROM tr),
 j AS (SELECT a.*, coalesce(so.n, 0) AS nso, coalesce(sop.n, 0) AS nsop, coalesce(ns.n, 0) AS ns, coalesce(sp.n, 0) AS nsp, coalesce(no.n, 0) AS no, coalesce(op.n, 0) AS nop, coalesce(np.n, 0) AS np, coalesce((SELECT n FROM ct WHERE g = 7), 0) AS nall FROM ask a
 LEFT JOIN ct so ON so.g = 1 AND so.s = a.s AND so.o = a.o LEFT JOIN ct sop ON sop.g = 0 AND sop.s = a.s AND sop.o = a.o AND sop.p = a.p LEFT JOIN ct ns ON ns.g = 3 AND ns.s = a.s LEFT JOIN ct sp ON sp.g = 2 AND sp.s = a.s AND sp.p = a.p
 LEFT JOIN ct no ON no.g = 5 AND no.o = a.o LEFT JOIN ct op ON op.g = 4 AND op.o = a.o AND op.p = a.p LEFT JOIN ct np ON np.g = 6 AND np.p = a.p)

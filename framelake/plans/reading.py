@@ -54,12 +54,12 @@ BALANCE_SQL = "SELECT quality, count(*) AS n, round(sum(count(*)) OVER () / CAST
 
 
 def one_vs_one(spark, d):
-    e = c.base(spark, d, "events").where("event_id < 500").select("event_id", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 1), (0, 2), (1, 2))])).alias("p"), "value")
+    e = c.base(spark, d, "events").select("event_id", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 1), (0, 2), (1, 2))])).alias("p"), "value")
     score = F.sin(F.col("value") * (F.col("p.i") + 1) + F.col("p.j"))
     return reading.one_vs_one(e.select("event_id", "p.i", "p.j", score.alias("score")), "event_id", 3, 2.0).select("event_id", "class", r("p", 6).alias("p"))
 
 
-OVO_SQL = """WITH e AS (SELECT event_id, i, j, 1 / (1 + exp(-2 * sin(value * (i + 1) + j))) AS p FROM events, (VALUES (0, 1), (0, 2), (1, 2)) v(i, j) WHERE event_id < 500),
+OVO_SQL = """WITH e AS (SELECT event_id, i, j, 1 / (1 + exp(-2 * sin(value * (i + 1) + j))) AS p FROM events, (VALUES (0, 1), (0, 2), (1, 2)) v(i, j)),
 s AS (SELECT event_id, class, sum(p) AS p FROM (SELECT event_id, i AS class, p FROM e UNION ALL SELECT event_id, j, 1 - p FROM e) GROUP BY ALL) SELECT event_id, class, round(p / (sum(p) OVER (PARTITION BY event_id) + 1e-12), 6) AS p FROM s"""
 
 
@@ -73,11 +73,11 @@ PHRASE_SQL = c.sql("SELECT label || '_on_page' AS label, count(DISTINCT image) A
 
 def ocr_cleanup(spark, d):
     """Readings of the turns of a conversation as one text, and its words."""
-    rows = c.base(spark, d, "conversations").select("conv_id", F.col("turn").alias("pos"), F.concat(F.lit("  "), F.substring("text", 1, 30)).alias("reading"), (F.col("turn") % 5 / 5.0).alias("conf"))
+    rows = c.base(spark, d, "conversations").select("conv_id", F.col("turn").alias("pos"), F.concat(F.lit("  "), "text").alias("reading"), (F.col("turn") % 5 / 5.0).alias("conf"))
     return reading.words_of(reading.cleaned_readings(rows, ["conv_id"], 0.3), ["conv_id"]).groupBy("conv_id").agg(F.count("*").alias("n"), F.max("word").alias("last_word"), r(F.max("conf"), 6).alias("conf"))
 
 
-OCR_SQL = r"""WITH t AS (SELECT conv_id, lower(trim(string_agg('  ' || substring(text, 1, 30), ' ' ORDER BY turn))) AS text, avg(turn % 5 / CAST(5 AS DOUBLE)) AS conf FROM conversations GROUP BY conv_id),
+OCR_SQL = r"""WITH t AS (SELECT conv_id, lower(trim(string_agg('  ' || text, ' ' ORDER BY turn))) AS text, avg(turn % 5 / CAST(5 AS DOUBLE)) AS conf FROM conversations GROUP BY conv_id),
 w AS (SELECT conv_id, conf, unnest(regexp_split_to_array(text, '\s+')) AS word FROM t WHERE conf >= 0.3 AND length(text) >= 2) SELECT conv_id, count(*) AS n, max(word) AS last_word, round(max(conf), 6) AS conf FROM w WHERE word <> '' GROUP BY conv_id"""
 
 
