@@ -150,17 +150,26 @@ def undersampled(rows: DataFrame, label: str, key: str, ratio: float = 0.09, see
     return rows.where((F.col(label) == 1) | (share < ratio))
 
 
-def silhouette(rows: DataFrame, cluster: str = "l1") -> DataFrame:
+def silhouette(rows: DataFrame, cluster: str = "l1", block: int = 4096, shares: int = 64) -> DataFrame:
     """(vec_id, s) over all rows (vec_id, v unit, cluster): by mean cosine distance to the own and to the nearest other cluster.
 
-    With sums of unit vectors by cluster - few beside the rows - means need no pairs of rows.
+    With sums of unit vectors by cluster - few beside the rows - means need no pairs of rows. Up to block clusters are broadcast;
+    more of them meet shares of the rows in blocks, by a join on block and share.
     """
     from framelake.functions import vectors
 
     flat = rows.select(cluster, F.posexplode("v").alias("i", "e")).groupBy(cluster, "i").agg(F.sum("e").alias("t"))
     sums = flat.groupBy(cluster).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "t"))), lambda x: x["t"]).alias("t"))
     sums = sums.join(rows.groupBy(cluster).agg(F.count("*").alias("n")), cluster).select(F.col(cluster).alias("c"), "t", "n")
-    d = rows.join(F.broadcast(sums.limit(100_000)), F.lit(True)).withColumn("dot", vectors.dot("v", "t"))
+    blocks = -(-rows.select(cluster).distinct().count() // block)
+    if blocks <= 1:
+        d = rows.join(F.broadcast(sums), F.lit(True))
+    else:
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        place = lambda x, n: F.pmod(F.xxhash64(x), F.lit(n)).cast("int")
+        sums = sums.withColumn("_block", place("c", blocks)).withColumn("_share", every(shares))
+        d = rows.withColumn("_share", place("vec_id", shares)).withColumn("_block", every(blocks)).join(sums, ["_block", "_share"])
+    d = d.withColumn("dot", vectors.dot("v", "t"))
     own = F.col("c") == F.col(cluster)
     mean = F.when(own, (F.col("n") - F.col("dot")) / F.greatest(F.lit(1), F.col("n") - 1)).otherwise(1 - F.col("dot") / F.col("n"))
     m = d.withColumn("m", mean).groupBy("vec_id").agg(F.max(F.when(own, F.col("m"))).alias("a"), F.min(F.when(~own, F.col("m"))).alias("b"), F.max(F.when(own, F.col("n"))).alias("n"))

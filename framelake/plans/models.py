@@ -96,7 +96,7 @@ SELECT s, o, p, round(CASE WHEN nso >= 2 THEN (nsop + 1) / (nso + 4) WHEN ns > 0
 
 def score_fusion(spark, d):
     """Classifier probability, prior and detection scores in one ranking of each video's scene."""
-    occ = c.occurrences(spark, d).where("l_linenumber = 1")
+    occ = c.occurrences(spark, d)
     p = prior.backoff(_triples(spark, d).distinct(), prior.counts(_triples(spark, d)), 4)
     rows = occ.select((F.col("video_id") * 50 + F.col("scene")).alias("image"), F.col("key").alias("s"), F.col("predicate").alias("p"), F.col("object").alias("o"), F.col("confidence").alias("s_score"), (1 - F.col("l_partkey") % 100 / 200.0).alias("o_score"), (F.col("l_suppkey") % 10 / 20.0 + 0.5).alias("prob"), (F.col("l_orderkey") * 10_007 + F.col("l_partkey") * 13 + F.col("l_suppkey")).alias("id"))
     out = prior.fused(rows.join(p, ["s", "o", "p"]), "image", 0.5, 3)
@@ -106,7 +106,7 @@ def score_fusion(spark, d):
 FUSION_SQL = c.sql(f"""+{_G}, pr AS (SELECT a.s, a.o, a.p, (a.n + 1) / CAST(b.n + 4 AS DOUBLE) AS pair, (x.n + 1) / CAST(y.n + 4 AS DOUBLE) AS sp, (u.n + 1) / CAST(v.n + 4 AS DOUBLE) AS op, b.n AS nso FROM ct a JOIN ct b ON b.g = 1 AND b.s = a.s AND b.o = a.o
   JOIN ct x ON x.g = 2 AND x.s = a.s AND x.p = a.p JOIN ct y ON y.g = 3 AND y.s = a.s JOIN ct u ON u.g = 4 AND u.o = a.o AND u.p = a.p JOIN ct v ON v.g = 5 AND v.o = a.o WHERE a.g = 0),
 w AS (SELECT video_id * 50 + scene AS image, confidence AS ss, 1 - (l_partkey % 100) / CAST(200 AS DOUBLE) AS os, (l_suppkey % 10) / CAST(20 AS DOUBLE) + 0.5 AS prob, l_orderkey * 10007 + l_partkey * 13 + l_suppkey AS id, CASE WHEN nso >= 2 THEN pair ELSE (sp + op + pair) / 3 END AS prior
-  FROM occ JOIN pr ON pr.s = key AND pr.o = object AND pr.p = predicate WHERE l_linenumber = 1)
+  FROM occ JOIN pr ON pr.s = key AND pr.o = object AND pr.p = predicate)
 SELECT * FROM (SELECT CAST(image AS INTEGER) AS image, CAST(row_number() OVER (PARTITION BY image ORDER BY round(prob * sqrt(prior) * ss * os, 9) DESC, id) AS INTEGER) AS rank, id, round(prob * sqrt(prior) * ss * os, 6) AS score FROM w) WHERE rank <= 3""", "occ")
 
 

@@ -292,3 +292,12 @@ def test_diverse_neighbours(spark):
     cands = F.array(item(1, 1.0, [1.0, 0.0]), item(2, 1.1, [1.1, 0.0]), item(3, 2.0, [0.0, 2.0]))
     assert [x.id for x in one(spark, clusters.diverse(cands, 2))[0]] == [1, 3]
     assert [x.id for x in one(spark, clusters.diverse(cands, 3))[0]] == [1, 3, 2]
+
+
+def test_silhouette_in_blocks_of_clusters(spark):
+    from framelake.operators import reading
+
+    rows = spark.sql("SELECT id AS vec_id, array(cos(id * 0.1D), sin(id * 0.1D)) AS v, CAST(id % 7 AS int) AS l1 FROM range(60)")
+    of = lambda x: {r["vec_id"]: round(r["s"], 9) for r in x.collect()}
+    assert of(reading.silhouette(rows, block=2, shares=3)) == of(reading.silhouette(rows))
+    assert len(of(reading.silhouette(rows))) == 60
