@@ -50,7 +50,11 @@ NMS_SQL = c.sql(f"""SELECT image, label, unnest(list_transform(list_reduce(list_
 
 def nms_capped(spark, d):
     """Three of each image and class at most, as detectors cap what they return."""
-    return det.nms(c.detections(spark, d), ["image", "label"], 0.5, boxes.iou_early, cap=3).groupBy("label").agg(F.count("*").alias("n"), r(F.sum("score"), 4).alias("score"))
+    return det.nms(c.detections(spark, d), ["image", "label"], 0.5, boxes.iou_early, cap=3).select("image", "label", "det_id")
+
+
+CAPPED_SQL = c.sql(f"""SELECT image, label, unnest(list_transform(list_reduce(list_transform(list({_ROW} ORDER BY -score, det_id), lambda e: [e]),
+  lambda acc, x: CASE WHEN len(acc) >= 3 OR len(list_filter(acc, lambda k: {_LI} / ((k.x2 - k.x1) * (k.y2 - k.y1) + (x[1].x2 - x[1].x1) * (x[1].y2 - x[1].y1) - {_LI} + 1e-6) > 0.5)) > 0 THEN acc ELSE list_concat(acc, x) END), lambda e: e.det_id)) AS det_id FROM boxes GROUP BY image, label""", "boxes")
 
 
 def box_filters(spark, d):
@@ -113,8 +117,15 @@ round(x1, 4) AS x1, round(y1, 4) AS y1, round(x2, 4) AS x2, round(y2, 4) AS y2,
 
 
 def merge_boxes(spark, d):
-    """Greedy merging within image and class; what overlaps a merged box makes it grow. A fold with growing state: no SQL."""
-    return det.merged_boxes(c.detections(spark, d), ["image", "label"]).select("image", "label", "pos", "n", r(boxes.area(F.col("box")), 2).alias("area"))
+    """Greedy merging within image and class; what overlaps a merged box makes it grow."""
+    return det.merged_boxes(c.detections(spark, d), ["image", "label"]).select("image", "label", "pos", "n", *[F.col("box")[v].alias(v) for v in ("x1", "y1", "x2", "y2")])
+
+
+_HIT = f"{_LI} / ((k.x2 - k.x1) * (k.y2 - k.y1) + (x[1].x2 - x[1].x1) * (x[1].y2 - x[1].y1) - {_LI} + 1e-8) > 0.3"
+_AT = f"coalesce(list_position(list_transform(acc, lambda k: {_HIT}), true), 0)"
+MERGE_SQL = c.sql(f"""+m AS (SELECT image, label, list_reduce(list_transform(list({{'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2, 'n': 1}} ORDER BY det_id), lambda e: [e]), lambda acc, x: CASE WHEN {_AT} = 0 THEN list_concat(acc, x)
+  ELSE list_transform(acc, lambda o, i: CASE WHEN i = {_AT} THEN {{'x1': least(o.x1, x[1].x1), 'y1': least(o.y1, x[1].y1), 'x2': greatest(o.x2, x[1].x2), 'y2': greatest(o.y2, x[1].y2), 'n': o.n + 1}} ELSE o END) END) AS l FROM boxes GROUP BY image, label),
+u AS (SELECT image, label, unnest(l) AS b, generate_subscripts(l, 1) - 1 AS pos FROM m) SELECT image, label, CAST(pos AS INTEGER) AS pos, b.n AS n, b.x1 AS x1, b.y1 AS y1, b.x2 AS x2, b.y2 AS y2 FROM u""", "boxes")
 
 
 def background_windows(spark, d):
@@ -144,8 +155,13 @@ def context_features(spark, d):
     return f.select("image", "det_id", F.size("features").alias("n"), r(F.aggregate("features", F.lit(0.0), lambda s, v: s + v), 4).alias("total"))
 
 
+CONTEXT_SQL = c.sql(f"""+a AS (SELECT * FROM boxes WHERE score > 0.9), b AS (SELECT * FROM boxes WHERE label IN ('click', 'purchase', 'view')),
+p AS (SELECT a.image, a.det_id, b.label, CASE WHEN {_I} / {_U} > 0.1 THEN 'over' WHEN b.y1 + b.y2 < a.y1 + a.y2 THEN 'above' ELSE 'below' END AS place, b.score AS score, b.det_id AS did, b.score + {_I} / {_U} + {_S('b')} / {_S('a')} AS v FROM a JOIN b ON a.image = b.image AND a.det_id <> b.det_id),
+k AS (SELECT image, det_id, arg_max(v, (score, -did)) AS v FROM p GROUP BY image, det_id, label, place)
+SELECT a.image, a.det_id, CAST(27 AS INTEGER) AS n, round(coalesce(sum(v), 0), 4) AS total FROM a LEFT JOIN k ON a.image = k.image AND a.det_id = k.det_id GROUP BY a.image, a.det_id""", "boxes")
+
 QUERIES = {
-    "iou_variants": (iou_variants, IOU_SQL), "iou_self_pairs": (iou_self_pairs, SELF_SQL), "nms_per_class": (nms_per_class, NMS_SQL), "nms_capped": (nms_capped, None), "box_filters": (box_filters, FILTER_SQL),
+    "iou_variants": (iou_variants, IOU_SQL), "iou_self_pairs": (iou_self_pairs, SELF_SQL), "nms_per_class": (nms_per_class, NMS_SQL), "nms_capped": (nms_capped, CAPPED_SQL), "box_filters": (box_filters, FILTER_SQL),
     "holes_anti": (holes_anti, HOLES_SQL), "pair_ranking": (pair_ranking, PAIR_SQL), "spatial_features": (spatial_features, SPATIAL_SQL), "anchor_grid": (anchor_grid, ANCHOR_SQL), "delta_roundtrip": (delta_roundtrip, DELTA_SQL),
-    "merge_boxes": (merge_boxes, None), "background_windows": (background_windows, BACKGROUND_SQL), "context_features": (context_features, None),
+    "merge_boxes": (merge_boxes, MERGE_SQL), "background_windows": (background_windows, BACKGROUND_SQL), "context_features": (context_features, CONTEXT_SQL),
 }

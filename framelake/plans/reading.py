@@ -36,7 +36,14 @@ SELECT det_id, round(score, 6) AS f0, round(x1 / 560, 6) AS f1, round(y1 / 460,
 
 def strategy_ranking(spark, d):
     x = c.detections(spark, d).withColumn("phrase", F.col("score")).withColumn("object", (F.col("det_id") * 131 % 997) / 997.0)
-    return reading.strategies(x, "image", 5).groupBy("strategy").agg(F.count("*").alias("n"), r(F.sum("score"), 4).alias("score"))
+    return reading.strategies(x, "image", 5).select("image", "strategy", "rank", "det_id", r("score", 6).alias("score"))
+
+
+_PIXELS = "greatest(0, least(k.x2, x[1].x2) - greatest(k.x1, x[1].x1) + 1) * greatest(0, least(k.y2, x[1].y2) - greatest(k.y1, x[1].y1) + 1)"
+STRATEGY_SQL = c.sql(f"""+o AS (SELECT *, (det_id * 131 % 997) / CAST(997.0 AS DOUBLE) AS other FROM boxes), s AS (SELECT image, det_id, x1, y1, x2, y2, 'phrase' AS strategy, score FROM o UNION ALL SELECT image, det_id, x1, y1, x2, y2, 'object', other FROM o UNION ALL SELECT image, det_id, x1, y1, x2, y2, 'both', score + other FROM o),
+k AS (SELECT image, strategy, unnest(list_reduce(list_transform(list({{'s': -score, 'det_id': det_id, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}} ORDER BY -score, det_id), lambda e: [e]),
+  lambda acc, x: CASE WHEN len(list_filter(acc, lambda k: {_PIXELS} / ((k.x2 - k.x1 + 1) * (k.y2 - k.y1 + 1) + (x[1].x2 - x[1].x1 + 1) * (x[1].y2 - x[1].y1 + 1) - {_PIXELS}) > 0.3)) > 0 THEN acc ELSE list_concat(acc, x) END)) AS e FROM s GROUP BY image, strategy)
+SELECT * FROM (SELECT image, strategy, CAST(row_number() OVER (PARTITION BY image, strategy ORDER BY e.s, e.det_id) AS INTEGER) AS rank, e.det_id AS det_id, round(-e.s, 6) AS score FROM k) WHERE rank <= 5""", "boxes")
 
 
 def window_width(spark, d):
@@ -103,6 +110,6 @@ ELBOW_SQL = c.sql("""+q AS (SELECT video, row_number() OVER (PARTITION BY video
 SELECT video, CAST(greatest(2, arg_max(pos, (abs(f + m * pos - value) / sqrt(m * m + 1), -pos))) AS INTEGER) AS k FROM z GROUP BY video""", "frames")
 
 QUERIES = {
-    "word_clusters": (word_clusters, None), "reading_order": (reading_order, ORDER_SQL), "best_per_class": (best_per_class, BEST_SQL), "strategy_ranking": (strategy_ranking, None), "window_width": (window_width, WIDTH_SQL), "class_balance": (class_balance, BALANCE_SQL),
+    "word_clusters": (word_clusters, None), "reading_order": (reading_order, ORDER_SQL), "best_per_class": (best_per_class, BEST_SQL), "strategy_ranking": (strategy_ranking, STRATEGY_SQL), "window_width": (window_width, WIDTH_SQL), "class_balance": (class_balance, BALANCE_SQL),
     "one_vs_one": (one_vs_one, OVO_SQL), "phrase_images": (phrase_images, PHRASE_SQL), "ocr_cleanup": (ocr_cleanup, OCR_SQL), "cluster_silhouette": (cluster_silhouette, SILHOUETTE_SQL), "scene_elbow": (scene_elbow, ELBOW_SQL),
 }

@@ -66,6 +66,18 @@ def flash_filter(spark, d):
     return a.join(b, "video")
 
 
+_LAST = "coalesce(acc.last, x.f)"
+_CALM = f"x.f - {_LAST} >= 8"
+_MOVED = f"CASE WHEN x.above THEN x.f ELSE {_LAST} END"
+_OVER = f"(acc.start IS NOT NULL AND {_CALM} AND NOT x.above AND {_LAST} - acc.start >= 8)"
+_FRESH = f"(acc.start IS NULL AND x.above AND {_CALM})"
+_FLASH = "{'last': CAST(NULL AS BIGINT), 'live': false, 'start': CAST(NULL AS BIGINT), 'cuts': CAST([] AS BIGINT[]), 'f': %s, 'above': %s}"
+FLASH_SQL = c.sql(f"""+l AS (SELECT video, list_prepend({_FLASH % ("CAST(0 AS BIGINT)", "false")}, list({_FLASH % ("frame", "score > 120")} ORDER BY frame)) AS l FROM frames GROUP BY video)
+SELECT video, coalesce(array_to_string(list_reduce(l, lambda acc, x: {{'last': CASE WHEN x.above AND {_CALM} THEN x.f ELSE {_LAST} END, 'live': acc.live, 'start': acc.start, 'cuts': CASE WHEN x.above AND {_CALM} THEN list_append(acc.cuts, x.f) ELSE acc.cuts END, 'f': x.f, 'above': x.above}}).cuts, ','), '') AS suppress,
+coalesce(array_to_string(list_reduce(l, lambda acc, x: {{'last': {_MOVED}, 'live': acc.live OR {_FRESH}, 'start': CASE WHEN {_OVER} THEN NULL WHEN acc.start IS NULL AND x.above AND NOT ({_CALM}) AND acc.live THEN x.f ELSE acc.start END,
+  'cuts': CASE WHEN {_OVER} THEN list_append(acc.cuts, {_LAST}) WHEN {_FRESH} THEN list_append(acc.cuts, x.f) ELSE acc.cuts END, 'f': x.f, 'above': x.above}}).cuts, ','), '') AS merge FROM l""", "frames")
+
+
 def gaussian_smooth(spark, d):
     s = seq.block_similarity(c.sentence_vectors(spark, d), "label")
     return seq.smoothed(s, "label").select("label", "pos", r("smooth", 6).alias("smooth"))
@@ -135,5 +147,5 @@ MPEG7_SQL = "SELECT event_id, CASE WHEN event_id % 11 = 0 THEN CAST(0 AS DOUBLE)
 
 QUERIES = {
     "frame_lag_score": (frame_lag_score, LAG_SQL), "adaptive_cuts": (adaptive_cuts, CUTS_SQL), "scenes_from_cuts": (scenes_from_cuts, SCENES_SQL), "window_stats_pm5": (window_stats_pm5, WINDOW_SQL), "fixed_cuts": (fixed_cuts, FIXED_SQL),
-    "flash_filter": (flash_filter, None), "gaussian_smooth": (gaussian_smooth, SMOOTH_SQL), "valleys": (valleys, VALLEYS_SQL), "ranges": (ranges, RANGES_SQL), "chapters_build": (chapters_build, None), "shot_grouping": (shot_grouping, None), "mpeg7_times": (mpeg7_times, MPEG7_SQL),
+    "flash_filter": (flash_filter, FLASH_SQL), "gaussian_smooth": (gaussian_smooth, SMOOTH_SQL), "valleys": (valleys, VALLEYS_SQL), "ranges": (ranges, RANGES_SQL), "chapters_build": (chapters_build, None), "shot_grouping": (shot_grouping, None), "mpeg7_times": (mpeg7_times, MPEG7_SQL),
 }
