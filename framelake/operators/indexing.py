@@ -21,15 +21,28 @@ def flattened(index: DataFrame, key: str = "key") -> DataFrame:
     return index.select(key, F.explode("postings").alias("p")).select(key, "p.*")
 
 
+def _others(rows: DataFrame, key: list[str]) -> list[Column]:
+    """Columns outside the key, in a form that sorts."""
+    return [F.to_json(c) if kind.startswith("map") else F.col(c) for c, kind in rows.dtypes if c not in key]
+
+
+def _first(rows: DataFrame, key: list[str]) -> DataFrame:
+    order = Window.partitionBy(*key).orderBy(*(_others(rows, key) or [F.lit(0)]))
+    return rows.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+
+
 def new_rows(incoming: DataFrame, existing: DataFrame, key: list[str]) -> DataFrame:
-    """Rows of incoming whose natural key is not there yet, each key once."""
-    return incoming.dropDuplicates(key).join(existing.select(*key), key, "left_anti")
+    """Rows of incoming whose natural key is not there yet; of rows of one key the first by their other columns."""
+    return _first(incoming, key).join(existing.select(*key), key, "left_anti")
 
 
 def upserted(existing: DataFrame, incoming: DataFrame, key: list[str]) -> DataFrame:
-    """existing with the rows of incoming in place of those of the same key. Running it twice changes nothing."""
+    """existing with the rows of incoming in place of those of the same key. Running it twice changes nothing.
+
+    Of several rows of one key and side the first by their other columns counts.
+    """
     both = existing.withColumn("_age", F.lit(0)).unionByName(incoming.withColumn("_age", F.lit(1)))
-    latest = Window.partitionBy(*key).orderBy(F.col("_age").desc())
+    latest = Window.partitionBy(*key).orderBy(F.col("_age").desc(), *_others(existing, key))
     return both.withColumn("_n", F.row_number().over(latest)).where("_n = 1").drop("_age", "_n")
 
 

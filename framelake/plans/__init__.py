@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framelake.plans import detection, indexing, lexical, metrics, models, reading, search, sequences  # noqa: E402
+from framelake.plans import detection, indexing, ingest, lexical, metrics, models, reading, search, sequences  # noqa: E402
 
-AREAS: tuple = (search, lexical, indexing, detection, sequences, metrics, models, reading)
+AREAS: tuple = (search, lexical, indexing, detection, sequences, metrics, models, reading, ingest)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from framelake.sources import readers
@@ -86,3 +87,34 @@ def test_stream_equals_batch(spark, tmp_path):
     query.stop()
     want = sequences.adaptive_cuts(frames, "video").select("video", F.explode("cuts").alias("frame"))
     assert sorted(map(tuple, spark.table("cuts").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_append_and_vector_store(spark, tmp_path):
+    from framelake.sources import store
+
+    store.append(spark.range(3), str(tmp_path / "rows"))
+    store.append(spark.range(3, 5), str(tmp_path / "rows"))
+    assert sorted(x.id for x in spark.read.parquet(str(tmp_path / "rows")).collect()) == [0, 1, 2, 3, 4]
+
+    path, schema = str(tmp_path / "vectors"), "vec_id long, v array<double>, meta map<string,string>"
+    s = store.VectorStore(spark, path)
+    with pytest.raises(ValueError):
+        s.query(spark.createDataFrame([(0, [1.0, 0.0])], "query_id long, q array<double>"), 1)
+    s.add(spark.createDataFrame([(1, [1.0, 0.0], {"a": "x"}), (2, [0.0, 2.0], {"a": "y"})], schema))
+    s.add(spark.createDataFrame([(2, [3.0, 0.1], {"a": "z"})], schema))
+    s.add(spark.createDataFrame([], schema))
+    with pytest.raises(ValueError):
+        s.add(spark.createDataFrame([(3, [1.0, 0.0, 0.0], None)], schema))
+    again = store.VectorStore(spark, path)
+    got = again.query(spark.createDataFrame([(7, [5.0, 0.0])], "query_id long, q array<double>"), 5)
+    assert [(x.rank, x.vec_id, x.meta["a"]) for x in got.orderBy("rank").collect()] == [(1, 1, "x"), (2, 2, "z")]
+    with pytest.raises(ValueError):
+        again.query(spark.createDataFrame([(7, [5.0])], "query_id long, q array<double>"), 5)
+
+
+def test_training_triples(spark, tmp_path):
+    from framelake.sources import readers
+
+    (tmp_path / "t.csv").write_text('anchor,positive,negative\n"a, ""b""",p,\nx,y,z\n')
+    got = {tuple(x) for x in readers.training_triples(spark, str(tmp_path / "t.csv")).collect()}
+    assert got == {('a, "b"', "p", ""), ("x", "y", "z")}

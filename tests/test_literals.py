@@ -301,3 +301,20 @@ def test_silhouette_in_blocks_of_clusters(spark):
     of = lambda x: {r["vec_id"]: round(r["s"], 9) for r in x.collect()}
     assert of(reading.silhouette(rows, block=2, shares=3)) == of(reading.silhouette(rows))
     assert len(of(reading.silhouette(rows))) == 60
+
+
+def test_rows_of_one_key(spark):
+    from framelake.operators import indexing
+
+    new = spark.createDataFrame([(1, "b", {"m": "1"}), (1, "a", {"m": "2"}), (2, "c", None)], "k int, x string, m map<string,string>")
+    old = new.where("k = 2")
+    assert [(x.k, x.x) for x in indexing.new_rows(new, old, ["k"]).collect()] == [(1, "a")]
+    assert sorted((x.k, x.x) for x in indexing.upserted(old, new, ["k"]).collect()) == [(1, "a"), (2, "c")]
+
+
+def test_undersampled(spark):
+    from framelake.operators import reading
+
+    rows = spark.range(20_000).selectExpr("id", "cast(id % 10 = 0 as int) AS y")
+    a, b = ({(x.id, x.y) for x in reading.undersampled(t, "y", "id", 0.1).collect()} for t in (rows, rows.repartition(7)))
+    assert a == b and sum(y for _, y in a) == 2000 and 1500 < sum(1 - y for _, y in a) < 2100
