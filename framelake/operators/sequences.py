@@ -187,9 +187,12 @@ def titles(texts: DataFrame, keys: list[str], n: int = 3) -> DataFrame:
 
 
 def optimal_scenes(shots: DataFrame, key: str, k: int) -> DataFrame:
-    """(key, scene, first, last): shots (key, shot, v) in k runs of least mean distance within, by dynamic programming a video.
+    """(key, scene, first, last): shots (key, shot, v) in k runs, the sum of distances within runs over the sum of the runs' squared sizes the least.
 
-    Runs are met by their ends, so a video of n shots takes memory for its vectors and k n sums, and time for n^2 distances.
+    The least ratio is found by the parametric method: for a ratio r, dynamic programming finds the runs with the least sum of
+    distances - r * squared size; their own ratio is the next r, until none is lower. Each round goes over the ends of runs, so a
+    video of n shots takes memory for its vectors and k n sums, and time for n^2 distances a round; rounds are few. With fewer
+    shots than k every shot is a run. Of equal sums the earlier cut counts.
     """
 
     def run(f):
@@ -199,21 +202,35 @@ def optimal_scenes(shots: DataFrame, key: str, k: int) -> DataFrame:
         f = f.sort_values("shot")
         x = np.stack(f["v"].to_numpy())
         n, m = len(x), min(k, len(x))
-        best, back = np.full((m, n + 1), np.inf), np.zeros((m, n + 1), int)
-        block = np.zeros(n)  # sums of the distances within the runs from each shot to the last one met
-        for e in range(1, n + 1):
-            dist = np.sqrt(((x[:e] - x[e - 1]) ** 2).sum(1))
-            block[:e] += 2 * dist[::-1].cumsum()[::-1]
-            cost = block[:e] / np.arange(e, 0, -1)
-            best[0, e] = cost[0]
-            for j in range(1, m):
-                total = best[j - 1, :e] + cost
-                back[j, e] = total.argmin()
-                best[j, e] = total[back[j, e]]
-        cuts = [n]
-        for j in range(m - 1, 0, -1):
-            cuts.append(int(back[j][cuts[-1]]))
-        cuts = [0, *cuts[::-1]]
+        squares = np.einsum("ij,ij->i", x, x)
+
+        def least(r):
+            """Cuts with the least sum at ratio r, that sum, and the sum of distances within the runs."""
+            best, back = np.full((m, n + 1), np.inf), np.zeros((m, n + 1), int)
+            inside = np.zeros((m, n + 1))
+            block = np.zeros(n)  # sums of the distances within the runs from each shot to the last one met
+            for e in range(1, n + 1):
+                dist = np.sqrt(np.maximum(squares[:e] + squares[e - 1] - 2 * (x[:e] @ x[e - 1]), 0))
+                dist[-1] = 0
+                block[:e] += 2 * dist[::-1].cumsum()[::-1]
+                cost = block[:e] - r * np.arange(e, 0, -1.0) ** 2
+                best[0, e], inside[0, e] = cost[0], block[0]
+                for j in range(1, m):
+                    total = best[j - 1, :e] + cost
+                    at = back[j, e] = total.argmin()
+                    best[j, e], inside[j, e] = total[at], inside[j - 1, at] + block[at]
+            cuts = [n]
+            for j in range(m - 1, 0, -1):
+                cuts.append(int(back[j][cuts[-1]]))
+            return [0, *cuts[::-1]], best[m - 1, n], inside[m - 1, n]
+
+        cuts, _, within = least(0.0)
+        while True:
+            r = within / (np.diff(cuts) ** 2).sum()
+            lower, left, within = least(r)
+            if left >= -1e-9 * max(1.0, within) or lower == cuts:
+                break
+            cuts = lower
         return pd.DataFrame({key: f[key].iloc[0], "scene": range(m), "first": cuts[:-1], "last": [c - 1 for c in cuts[1:]]})
 
     return shots.groupBy(key).applyInPandas(run, f"{key} {dict(shots.dtypes)[key]}, scene int, first int, last int")

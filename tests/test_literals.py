@@ -1,5 +1,7 @@
 """Cases with values known beforehand, and invariants."""
 
+import itertools
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,7 +86,7 @@ def test_scenes(spark):
 
 
 def test_shot_grouping_of_long_labels(spark, tmp_path):
-    """All shots of a label are grouped, and the runs cost as little as the best found by plain dynamic programming."""
+    """All shots of a label are grouped, and no other cuts have a smaller sum of distances within runs over the sum of squared sizes."""
     import numpy as np
 
     from framelake import plans
@@ -94,12 +96,11 @@ def test_shot_grouping_of_long_labels(spark, tmp_path):
     spark.createDataFrame([(i, v.tolist(), 7) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
     got = sorted((r.first, r.last) for r in plans.queries()["shot_grouping"](spark, str(tmp_path)).collect())
     d = np.linalg.norm(x[:, None].astype(float) - x[None].astype(float), axis=2)
-    cost = lambda a, b: d[a:b, a:b].sum() / (b - a)
-    best = [0.0] + [np.inf] * 90
-    for _ in range(4):
-        best = [np.inf] + [min(best[a] + cost(a, b) for a in range(b)) for b in range(1, 91)]
+    sums = np.array([[d[a:b, a:b].sum() for b in range(91)] for a in range(91)])
+    p, q, s = np.array(list(itertools.combinations(range(1, 90), 3))).T
+    ratios = (sums[0, p] + sums[p, q] + sums[q, s] + sums[s, 90]) / (p**2 + (q - p) ** 2 + (s - q) ** 2 + (90 - s) ** 2)
     assert [a for a, _ in got] == [0, *[b + 1 for _, b in got[:-1]]] and got[-1][1] == 89 and len(got) == 4
-    assert sum(cost(a, b + 1) for a, b in got) == pytest.approx(best[90])
+    assert sum(sums[a, b + 1] for a, b in got) / sum((b + 1 - a) ** 2 for a, b in got) == pytest.approx(ratios.min())
 
 
 def test_zero_shot_prior_asks_all_triples(spark):
@@ -318,3 +319,20 @@ def test_undersampled(spark):
     rows = spark.range(20_000).selectExpr("id", "cast(id % 10 = 0 as int) AS y")
     a, b = ({(x.id, x.y) for x in reading.undersampled(t, "y", "id", 0.1).collect()} for t in (rows, rows.repartition(7)))
     assert a == b and sum(y for _, y in a) == 2000 and 1500 < sum(1 - y for _, y in a) < 2100
+
+
+def test_optimal_scenes_against_all_cuts(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    data = {v: rng.normal(size=(n, 3)) + rng.integers(0, 3, size=(n, 1)) for v, n in enumerate([1, 2, 3, 7, 9, 11, 12, 12])}
+    rows = spark.createDataFrame([(v, s, x.tolist()) for v, m in data.items() for s, x in enumerate(m)], "video int, shot int, v array<double>")
+    got = {}
+    for x in sequences.optimal_scenes(rows, "video", 3).collect():
+        got.setdefault(x.video, []).append((x.first, x.last + 1))
+    for v, m in data.items():
+        d = np.sqrt(((m[:, None] - m[None]) ** 2).sum(-1))
+        ratio = lambda runs: sum(d[a:b, a:b].sum() for a, b in runs) / sum((b - a) ** 2 for a, b in runs)  # noqa: B023, E731
+        every = [list(itertools.pairwise((0, *c, len(m)))) for c in itertools.combinations(range(1, len(m)), min(3, len(m)) - 1)]
+        assert sorted(got[v]) in every
+        assert abs(ratio(got[v]) - min(map(ratio, every))) < 1e-9
