@@ -108,12 +108,15 @@ def centroids(rows: DataFrame, by: list[str]) -> DataFrame:
     return flat.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("c"))
 
 
-def probe(queries: DataFrame, corpus: DataFrame, k: int, digits: int = 6) -> DataFrame:
+def probe(queries: DataFrame, corpus: DataFrame, k: int, digits: int = 6, block: int = 65_536, share: int = 32_768) -> DataFrame:
     """(query_id, rank, vec_id, sim): the k best among the clusters a query probes. corpus: vec_id, v, l1, l2; queries: query_id, q.
 
-    Centroids are few beside the vectors; queries meet them first and only the clusters they pick after, by a join on l2.
+    Centroids are few beside the vectors; queries meet them first and only the clusters they pick after. There about block
+    queries meet about share vectors of a cluster at a time, by a matrix product, and k of each go on.
     """
-    c1, c2 = centroids(corpus, ["l1"]), centroids(corpus, ["l1", "l2"])
+    flat = corpus.select("l1", "l2", F.posexplode("v").alias("i", "e")).groupBy("l1", "l2", "i").agg(F.sum("e").alias("t"), F.count("e").alias("n"))
+    means = lambda by: flat.groupBy(*by, "i").agg(F.try_divide(F.sum("t"), F.sum("n")).alias("m")).groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("c"))
+    c1, c2 = means(["l1"]), means(["l1", "l2"])
     sizes = c2.agg(F.count_distinct("l1").alias("n1"), F.count("*").alias("n2"))
     n1, n2 = vectors.probe_counts(F.col("n1"), F.col("n2"))
     sizes = sizes.select(n1.alias("p1"), n2.alias("p2"))
@@ -122,8 +125,98 @@ def probe(queries: DataFrame, corpus: DataFrame, k: int, digits: int = 6) -> Dat
     near = near.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("s").desc(), "l1"))).join(F.broadcast(sizes), F.lit(True)).where("r <= p1").select("query_id", "q", "l1", "p2")
     cells = near.join(c2, "l1").withColumn("s", cos("c"))
     cells = cells.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "l1").orderBy(F.col("s").desc(), "l2"))).where("r <= p2").select("query_id", "q", "l2")
-    hits = cells.join(corpus.select("vec_id", "v", "l2"), "l2").select("query_id", "vec_id", F.round(vectors.dot(vectors.normalise("q"), vectors.normalise("v")), digits).alias("sim"))
-    return ranked(hits, k)
+    hits = nearest_of_cells(cells, corpus.select("vec_id", "v", "l2"), queries.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / block)).alias("blocks")), k, digits, share)
+    return ranked(hits.select("query_id", "vec_id", F.round("sim", digits).alias("sim")), k)
+
+
+def nearest_of_cells(cells: DataFrame, corpus: DataFrame, blocks: DataFrame, k: int, digits: int, share: int) -> DataFrame:
+    """(query_id, vec_id, sim), unrounded: of each share of a cell (l2), a query's k best or more. blocks: one row, into how many the queries fall.
+
+    A product finds who can be among the k once rounded; these are summed from left to right, as vectors.dot does, and
+    ties go to the smaller vec_id. NaN comes first; no similarity, of what is null or of another length, last.
+    """
+    from pyspark.sql.types import DoubleType, StructField, StructType
+
+    def best(x, y):
+        import decimal
+
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        def lengths(lists):
+            """-1 where there is nothing to compare."""
+            n = pc.fill_null(pc.list_value_length(lists), -1).to_numpy(zero_copy_only=False).copy()
+            if lists.flatten().null_count:
+                n[pc.list_parent_indices(lists).to_numpy()[pc.is_null(lists.flatten()).to_numpy(zero_copy_only=False)]] = -1
+            return n
+
+        def matrix(lists, at, d):
+            return lists.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), d)
+
+        def few(lists, at, d):
+            """Of exact copies the first k; the others cannot be among the k."""
+            if not d:
+                return at[:k]
+            _, group, n = np.unique(np.ascontiguousarray(matrix(lists, at, d)).view(np.dtype((np.void, 8 * d))).ravel(), return_inverse=True, return_counts=True)
+            order = np.argsort(group, kind="stable")
+            return at[np.sort(order[np.arange(len(at)) - (np.cumsum(n) - n)[group[order]] < k])]
+
+        def units(lists, at, d):
+            """Unit vectors as columns."""
+            m = matrix(lists, at, d).T.copy()
+            n = np.sqrt(sums(m, m))
+            return np.divide(m, n, out=m, where=n > 0)
+
+        def sums(a, b):
+            total = np.zeros(a.shape[1])
+            for p, q in zip(a, b, strict=True):
+                total += p * q
+            return total
+
+        def rounded(s):
+            """As Spark does it, from the decimal text; only where it matters."""
+            t = s * 10.0**digits
+            out = np.rint(t) / 10.0**digits
+            for i in np.flatnonzero(np.abs(t - np.floor(t) - 0.5) < 1e-4):
+                out[i] = float(decimal.Decimal(repr(float(s[i]))).quantize(decimal.Decimal(1).scaleb(-digits), decimal.ROUND_HALF_UP))
+            return out
+
+        if not len(x) or not len(y):
+            return pa.table({"query_id": x.column("query_id").slice(0, 0), "vec_id": y.column("vec_id").slice(0, 0), "sim": pa.array([], pa.float64())})
+        y = y.take(pc.sort_indices(y, [("vec_id", "ascending")], null_placement="at_start"))
+        qs, vs = x.column("q").combine_chunks(), y.column("v").combine_chunks()
+        of_q, of_v, found = lengths(qs), lengths(vs), []
+        with np.errstate(all="ignore"):
+            for d in np.unique(of_q):
+                mine, same = np.flatnonzero(of_q == d), np.flatnonzero((of_v == d) & (d >= 0))
+                rest = np.flatnonzero((of_v != d) | (d < 0))[: max(0, k - len(same))]
+                found.append((np.repeat(mine, len(rest)), np.tile(rest, len(mine)), np.zeros(len(mine) * len(rest)), np.ones(len(mine) * len(rest), bool)))
+                if not len(same):
+                    continue
+                same = few(vs, same, d)
+                a, b = units(qs, mine, d), units(vs, same, d)
+                step = max(1, 2**21 // len(same))
+                for i in range(0, len(mine), step):
+                    s = a[:, i : i + step].T @ b
+                    s[np.isnan(s)] = np.inf
+                    least = np.partition(s, -k, axis=1)[:, -k] if len(same) > k else np.full(len(s), -np.inf)
+                    r, c = np.nonzero(s >= (least - 1.001 * 10.0**-digits - 1e-12)[:, None])
+                    s = np.concatenate([sums(a[:, i + r[j : j + 2**14]], b[:, c[j : j + 2**14]]) for j in range(0, len(r), 2**14)])
+                    order = np.lexsort((c, -np.where(np.isnan(s), np.inf, rounded(s)), r))
+                    order = order[np.arange(len(r)) - np.searchsorted(r, r) < k]
+                    found.append((mine[i + r[order]], same[c[order]], s[order], np.zeros(len(order), bool)))
+        at_q, at_v, sims, none = (np.concatenate(z) for z in zip(*found, strict=True))
+        return pa.table({"query_id": x.column("query_id").take(pa.array(at_q)), "vec_id": y.column("vec_id").take(pa.array(at_v)), "sim": pa.array(sims, mask=none)})
+
+    large = F.broadcast(corpus.groupBy("l2").count().where(F.col("count") > share).select("l2", F.ceil(F.col("count") / share).alias("shares")))
+    split = lambda rows: rows.where("l2 IS NOT NULL").join(large, "l2", "left").join(F.broadcast(blocks), F.lit(True)).withColumn("shares", F.coalesce("shares", F.lit(1).cast("long")))
+    part = lambda key, n: F.pmod(F.xxhash64(key), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    q = split(cells).select("query_id", vectors.doubles("q").alias("q"), "l2", part("query_id", "blocks").alias("b"), every("shares").alias("s"))
+    c = split(corpus).select("vec_id", vectors.doubles("v").alias("v"), "l2", part("vec_id", "shares").alias("s"), every("blocks").alias("b"))
+    out = StructType([cells.schema["query_id"], corpus.schema["vec_id"], StructField("sim", DoubleType())])
+    return q.groupBy("l2", "b", "s").cogroup(c.groupBy("l2", "b", "s")).applyInArrow(best, out)
 
 
 def stats(assigned: DataFrame, cluster: str) -> DataFrame:

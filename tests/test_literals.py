@@ -288,6 +288,40 @@ def test_online_clusters_of_a_whole_table(spark, tmp_path):
     assert got == want
 
 
+def test_probe_of_long_vectors(spark):
+    """Work follows the pairs' dimensions, not their squares (that took minutes here); shares, blocks and odd rows change nothing."""
+    import time
+
+    import numpy as np
+
+    x = np.random.RandomState(7).randn(1000, 256)
+    x[100:240] = x[100]
+    x[200] = 0
+    vs = [None if i in (3, 300) else v.tolist() for i, v in enumerate(x)]
+    rows = spark.createDataFrame([(i, v, i % 10, i % 10 * 2 + i // 10 % 2) for i, v in enumerate(vs)], "vec_id long, v array<double>, l1 int, l2 int").repartition(4).cache()
+    q = rows.where("vec_id % 50 = 0").selectExpr("vec_id AS query_id", "v AS q")
+    begun = time.perf_counter()
+    got = sorted(map(tuple, clusters.probe(q, rows, 5).collect()))
+    assert time.perf_counter() - begun < 40
+    ids = np.array([i for i, v in enumerate(vs) if v is not None])
+    l1, l2 = ids % 10, ids % 10 * 2 + ids // 10 % 2
+    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=-1, keepdims=True), 1e-30)
+    mean = lambda at: unit(x[ids[at]].mean(0))
+    want = []
+    for i in range(0, 1000, 50):
+        if i == 300:  # of a null vector all are as near: clusters and ids in order
+            want += [(i, r + 1, k, None) for r, k in enumerate((0, 1, 2, 3, 10))]
+            continue
+        u = unit(x[i])
+        best = sorted(range(10), key=lambda k: (-round(float(mean(l1 == k) @ u), 6), k))[:4]
+        at = ids[np.isin(l1, best)]
+        sims = [(-round(float(unit(x[k]) @ u), 6) + 0.0, int(k)) for k in at]
+        want += [(i, r + 1, k, -s) for r, (s, k) in enumerate(sorted(sims)[:5])]
+    assert [t[:3] for t in got] == [t[:3] for t in want]
+    assert all(a[3] == b[3] or abs(a[3] - b[3]) < 1.5e-6 for a, b in zip(got, want, strict=True))
+    assert sorted(map(tuple, clusters.probe(q, rows, 5, block=6, share=9).collect())) == got
+
+
 def test_diverse_neighbours(spark):
     item = lambda i, d, v: F.struct(F.lit(d).alias("d"), F.lit(i).alias("id"), F.array(*map(F.lit, v)).alias("v"))
     cands = F.array(item(1, 1.0, [1.0, 0.0]), item(2, 1.1, [1.1, 0.0]), item(3, 2.0, [0.0, 2.0]))
