@@ -67,9 +67,11 @@ def dropped(*tables: DataFrame) -> None:
 def release(spark: SparkSession) -> None:
     """Ask the driver's JVM to collect garbage now: only then Spark removes shuffle files that nothing refers to any more.
 
-    What Python has freed goes back to the machine, where the C library can do that.
+    What Python and Arrow have freed goes back to the machine, where the C library can do that.
     """
     gc.collect()
+    if "pyarrow" in sys.modules:
+        sys.modules["pyarrow"].default_memory_pool().release_unused()
     with contextlib.suppress(AttributeError, OSError):
         ctypes.CDLL(None).malloc_trim(0)
     spark.sparkContext._jvm.System.gc()
