@@ -84,8 +84,9 @@ def distinct_sets(lines: DataFrame) -> DataFrame:
     # Stands between the rarer and the more usual words; a word of that class whose hash ends in 56 zero bits would do no harm but there.
     middle = F.lit((half + 1) << 56)
     # A subquery may not stand in a lambda as written, so it is a column that only the lambda uses; the optimizer puts it there.
-    words = F.transform("w", lambda x: F.get("known", bucket(x)).bitwiseOR(x.bitwiseAND(F.lit(MASK))))
-    rows = lines.withColumn("known", known).select("doc", "line", F.sort_array(F.array_append(words, middle)).alias("s"))
+    # Numbers that are never null, by their type, are sorted as such; else as objects by a comparator.
+    words = F.transform("w", lambda x: F.coalesce(F.get("known", bucket(x)).bitwiseOR(x.bitwiseAND(F.lit(MASK))), F.lit(0).cast("long")))
+    rows = lines.withColumn("known", known).select("doc", "line", F.sort_array(F.concat(words, F.array(middle))).alias("s"))
     rows = rows.select("doc", "line", "s", F.array_position("s", middle).cast("int").alias("k"), (F.size("s") - 1).alias("size"))
     # Slices are columns that are used twice, so that they stay out of the interpreted functions over them.
     rows = rows.select("doc", "line", "s", "size", F.slice("s", F.lit(1), F.col("k") - 1).alias("a"), F.slice("s", F.col("k") + 1, F.col("size")).alias("b"), F.slice("s", F.lit(1), first_words(F.col("size")) + 2).alias("c"))
@@ -93,11 +94,26 @@ def distinct_sets(lines: DataFrame) -> DataFrame:
     # The prefix only finds candidates, so 31 bits of a word are enough in it.
     prefix = F.when(F.size("c") > 0, F.transform(F.slice(F.array_remove("c", middle), F.lit(1), first_words(F.col("size")) + 1), lambda x: x.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")))
     # Places as one number each, and all else as keys, so that the aggregation hashes and need not sort.
-    place = F.col("doc").cast("decimal(20,0)") * F.lit(PLACES) + F.col("line")
-    rows = rows.select(F.xxhash64("s").alias("h"), F.col("size").cast("long").alias("size"), prefix.alias("prefix"), bits("a").alias("rare"), bits("b").alias("usual"), place.cast("decimal(38,0)").alias("place"))
-    one = rows.groupBy("h", "size", "prefix", "rare", "usual").agg(F.min("place").alias("place"))
-    line = F.pmod("place", F.lit(PLACES))
-    return one.select(((F.col("place") - line) / F.lit(PLACES)).cast("long").alias("doc"), line.cast("int").alias("line"), "size", "prefix", "rare", "usual")
+    near, far = places(F.col("doc"), F.col("line"))
+    rows = rows.select(F.xxhash64("s").alias("h"), F.col("size").cast("long").alias("size"), prefix.alias("prefix"), bits("a").alias("rare"), bits("b").alias("usual"), near.alias("near"), far.alias("far"))
+    one = rows.groupBy("h", "size", "prefix", "rare", "usual").agg(F.min("near").alias("near"), F.min("far").alias("far"))
+    doc, line = place_of("near", "far")
+    return one.select(doc.alias("doc"), line.alias("line"), "size", "prefix", "rare", "usual")
+
+
+def places(doc: Column, line: Column) -> tuple[Column, Column]:
+    """A place as one number: a long if doc has 33 bits at most, else a decimal; the other is null."""
+    fits = doc.between(-(1 << 32), (1 << 32) - 1)
+    far = (doc.cast("decimal(20,0)") * F.lit(PLACES) + line).cast("decimal(38,0)")
+    return F.when(fits, shift_left(doc, 31).bitwiseOR(line.cast("long"))), F.when(~fits, far)
+
+
+def place_of(near: str, far: str) -> tuple[Column, Column]:
+    """doc and line of the earlier of two places, as places() has them."""
+    at = F.pmod(far, F.lit(PLACES))
+    other = F.col(far).isNotNull() & (F.col(near).isNull() | (F.col(far) < 0))
+    doc = F.when(other, ((F.col(far) - at) / F.lit(PLACES)).cast("long")).otherwise(F.call_function("shiftright", F.col(near), F.lit(31)))
+    return doc, F.when(other, at.cast("int")).otherwise(F.col(near).bitwiseAND(F.lit(PLACES - 1)).cast("int"))
 
 
 def first_words(size: Column) -> Column:

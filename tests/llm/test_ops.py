@@ -228,6 +228,34 @@ def test_lines_many_variants(spark):
     assert got == plain_lines(docs)
 
 
+def test_words_of_lines_are_sorted_as_numbers(spark):
+    """Their type says that none is null; else each comparison is one of objects. Places are exact for any id, earliest first."""
+    lines = spark.createDataFrame([(1, 0, [3, 1, 2])], "doc long, line int, w array<long>")
+    plan = line_dedup.distinct_sets(lines)._jdf.queryExecution().optimizedPlan()
+    found = []
+
+    def walk(e):
+        if e.nodeName() == "SortArray":
+            found.append(e.children().apply(0).dataType().containsNull())
+        for k in range(e.children().size()):
+            walk(e.children().apply(k))
+
+    def nodes(p):
+        for k in range(p.expressions().size()):
+            walk(p.expressions().apply(k))
+        for k in range(p.children().size()):
+            nodes(p.children().apply(k))
+
+    nodes(plan)
+    assert found and not any(found)
+    ids = [-(2**63), -(2**32) - 1, -(2**32), -1, 0, 7, 2**32 - 1, 2**32, 2**63 - 1]
+    cases = list(itertools.combinations_with_replacement(ids, 2))
+    near, far = line_dedup.places(F.col("doc"), F.col("line"))
+    rows = spark.createDataFrame([(k, *x) for k, (a, b) in enumerate(cases) for x in ((b, 5), (a, 3), (a, 2**31 - 1))], "k int, doc long, line int")
+    least = rows.groupBy("k").agg(F.min(near).alias("near"), F.min(far).alias("far"))
+    assert {r[0]: r[1:] for r in least.select("k", *line_dedup.place_of("near", "far")).collect()} == {k: (a, 3) for k, (a, _) in enumerate(cases)}
+
+
 def test_lines_odd_rows(spark, odd):
     rows = {r.n_chars: r for r in line_dedup.deduped(odd).collect()}
     assert rows[3].text is None and rows[3].n_lines == 0 and rows[4].text == "" and rows[5].text == " \n\t "
