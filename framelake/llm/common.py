@@ -57,8 +57,15 @@ def written(df: DataFrame, **options: str) -> DataFrame:
     return out
 
 
+def laid(df: DataFrame) -> DataFrame:
+    """df as cut() writes it, plain rows without a code; dropped() removes it. About twice the disk of written() for arrays of numbers, and less to compute."""
+    out = cut(df)
+    out.written_to = out._jdf.logicalPlan().rdd().getCheckpointFile().get()
+    return out
+
+
 def dropped(*tables: DataFrame) -> None:
-    """Remove tables that written() made, once nothing is to be read from them any more."""
+    """Remove tables that written() or laid() made, once nothing is to be read from them any more."""
     for t in tables:
         path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.written_to)
         path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -3,8 +3,8 @@
 A line is the set of its lower-cased words. It goes if a line before it, by (doc_id, line number), has Jaccard similarity of
 0.8 or more to it, whether that line itself stays or not; lines without words stay. The way there, in built-in functions only:
 
-1. Lines are split into words once; the 64-bit hashes of each line's distinct words are written as a dictionary-coded table, from
-   which all that follows is read. Sets are compared by these hashes.
+1. Lines are split into words once; the 64-bit hashes of each line's distinct words are written as plain rows, from which all that
+   follows is read. Sets are compared by these hashes.
 2. Words are ordered by rarity: counts over all lines in BUCKETS hash buckets (a table of fixed size, written as one row), in classes by logarithm, ties by the word's hash. That is one total order for all lines, which is all that
    prefix filtering needs to be exact.
 3. Lines with equal sets become one, at the earliest place.
@@ -31,7 +31,7 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from framelake.llm.common import constant, cut, dropped, release, sieve, table, written
+from framelake.llm.common import constant, cut, dropped, laid, release, sieve, table, written
 
 BUCKETS, FEW, NEAR, LAST = 1 << 18, 3, 3, (1 << 63) - 1
 #: A word is far more frequent in prefixes than others if its bucket holds this many rows, and this many times the mean.
@@ -178,7 +178,8 @@ def near_pairs(sets: DataFrame, hot) -> DataFrame:
     order = Window.partitionBy("word", F.floor(F.log(F.col("size")) / math.log(1.25)), salt).orderBy("doc", "line")
     row = F.struct("doc", "line", "size", "i", "rare", "usual")
     ys = F.array(*[F.lag(row, k).over(order) for k in range(1, NEAR + 1)], F.first(row).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    seen = few.withColumn("ys", ys).withColumn("y", F.explode("ys"))
+    # The first of its group has none before it.
+    seen = few.withColumn("ys", ys).where(F.get("ys", F.lit(0)).isNotNull()).withColumn("y", F.explode("ys"))
     return seen.where(possible("", "y.") & before("", "y.")).select(*pair("", "y.")).distinct()
 
 
@@ -212,8 +213,9 @@ def all_pairs(sets: DataFrame, hot) -> DataFrame:
 def staying(docs: DataFrame) -> DataFrame:
     """(doc, stay): the numbers of the lines with words that stay, for each doc_id that has any."""
     spark = docs.sparkSession
-    lines = written(hashed_lines(docs), **{"parquet.dictionary.page.size": str(16 << 20)})
-    sets = written(distinct_sets(lines))
+    # Coding the words costs about as much as all the work on the texts; the sets have few values twice.
+    lines = laid(hashed_lines(docs))
+    sets = written(distinct_sets(lines), **{"parquet.enable.dictionary": "false"})
     release(spark)
     longer = sets.where("size > 3")  # of fewer words, only equal sets are similar
     hot = hot_words(words_of(longer, first_words(F.col("size"))))
@@ -244,7 +246,8 @@ def deduped(docs: DataFrame) -> DataFrame:
     names = [c for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
     rows = docs.select(F.struct(*[F.col(c) for c in [*names, "text"]]).alias("row"), F.coalesce("doc_id", F.lit(LAST)).alias("doc"))
     rows = rows.join(staying(docs.select("doc_id", "text")).hint("shuffle_hash"), "doc", "left").withColumn("lines", F.split("row.text", "\n", -1))
-    blank = F.filter(F.transform("lines", lambda x, i: F.when(F.rlike(x, F.lit(r"[^\x20\x09-\x0D]")), F.lit(-1)).otherwise(i)), lambda i: i >= 0)
+    # Most lines begin with a word, which a comparison of their first bytes tells.
+    blank = F.filter(F.transform("lines", lambda x, i: F.when((x >= "!") | F.rlike(x, F.lit(r"[^\x20\x09-\x0D]")), F.lit(-1)).otherwise(i)), lambda i: i >= 0)
     at = F.filter(F.sort_array(F.array_union(F.coalesce("stay", F.array().cast("array<int>")), blank)), lambda i: i < F.size("lines"))
     # Where as many lines with words stay as there are lines, none goes; a repeated doc_id may have more of them than this row.
     whole = F.size(F.coalesce("stay", F.array().cast("array<int>"))) == F.size("lines")

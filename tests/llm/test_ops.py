@@ -256,6 +256,20 @@ def test_words_of_lines_are_sorted_as_numbers(spark):
     assert {r[0]: r[1:] for r in least.select("k", *line_dedup.place_of("near", "far")).collect()} == {k: (a, 3) for k, (a, _) in enumerate(cases)}
 
 
+def test_words_of_lines_are_plain_rows(spark, documents, monkeypatch):
+    """They are not coded, and their folder goes before the last join."""
+    made = []
+    monkeypatch.setattr(line_dedup, "laid", lambda df, f=line_dedup.laid: made.append(f(df)) or made[-1])
+    few = documents.where("doc_id < 60")
+    assert line_dedup.deduped(few).count() == few.count()
+    path = spark._jvm.org.apache.hadoop.fs.Path(made[0].written_to)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    assert made[0].columns == ["doc", "line", "w"] and len(made) == 1 and not files.exists(path)
+    again = line_dedup.laid(line_dedup.hashed_lines(few))
+    assert sorted(again.collect()) == sorted(line_dedup.hashed_lines(few).collect())
+    assert files.exists(spark._jvm.org.apache.hadoop.fs.Path(again.written_to))
+
+
 def test_lines_odd_rows(spark, odd):
     rows = {r.n_chars: r for r in line_dedup.deduped(odd).collect()}
     assert rows[3].text is None and rows[3].n_lines == 0 and rows[4].text == "" and rows[5].text == " \n\t "
